@@ -16,14 +16,14 @@ from gaugeworks.operators.scans import number_rows
 from gaugeworks.plans import jobs
 from gaugeworks.schemas import STAMP, layout
 from gaugeworks.session import scratch_path
-from gaugeworks.sources.event_lines import event_lines, line_text, load_events
+from gaugeworks.sources.event_lines import event_lines, header_text, line_text, load_events
 from gaugeworks.sources.lines import stream_lines
 from gaugeworks.streaming.runs import run_available, write_flush_line
 from gaugeworks.streaming.trailing import trailing_batches_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FILE_EVENTS = 4096  # events per line file in the file-based queries
+FILE_EVENTS = 1_000_000  # events per line file at most, in the file-based queries
 TRAILING_SIZE = 20  # lines per batch in the trailing queries
 TRAILING_KEYS = 3
 
@@ -122,19 +122,24 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_line_files(spark: SparkSession, sf: str, kind: str) -> str:
-    """Write the lines of each run of events to one file, header first, in a fresh folder."""
+    """Write the lines of each run of events to one file, header first, in a fresh folder.
+
+    There are three files at least, and more as the table grows.
+    """
     events = load_events(spark, sf)
     folder = scratch_path(spark, f"{kind}-lines")
-    run_no = F.expr(f"event_id div {FILE_EVENTS}")
-    header = F.struct(F.lit(-1).cast("bigint").alias("ord"), F.lit("sensor_id").alias("value"))
-    line = F.struct(F.col("event_id").alias("ord"), line_text(kind).alias("value"))
-    first = F.col("event_id") % FILE_EVENTS == 0
+    newest = events.agg(F.max("event_id")).first()[0]
+    per_file = min(FILE_EVENTS, newest // 3 + 1)
+    header = F.struct(F.lit(0).alias("place"), F.lit(header_text(kind)).alias("value"))
+    line = F.struct(F.lit(1).alias("place"), line_text(kind).alias("value"))
+    first = F.col("event_id") % per_file == 0
     entries = F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line)))
+    run = F.format_string("%012d", F.expr(f"event_id div {per_file}"))
     (
-        events.select(F.format_string("%012d", run_no).alias("run"), entries.alias("e"))
+        events.select("event_id", run.alias("run"), entries.alias("entry"))
         .repartition("run")
-        .sortWithinPartitions("run", "e.ord")
-        .select("run", "e.value")
+        .sortWithinPartitions("run", "event_id", "entry.place")
+        .select("run", "entry.value")
         .write.partitionBy("run")
         .text(folder)
     )
