@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugeworks.session import settle
+
 ROW_GROUP_BITS = 14
 GROUP_BITS = 17
 
@@ -23,28 +25,40 @@ _FOLDS: dict[str, tuple[Callable[..., Column], Callable[[Column, Column], Column
 }
 
 
-def exclusive_prefix(
-    points: DataFrame, key: str, value: str, fold: str = "sum", levels: int = 2
-) -> DataFrame:
+def exclusive_prefix(points: DataFrame, key: str, value: str, fold: str = "sum") -> DataFrame:
     """Fold of ``value`` over all rows before each row in ``key`` order.
 
     ``points`` has unique non-null BIGINT keys. Returns ``key``, ``value``, ``before`` and
     ``overall`` (the fold of the whole table). ``before`` is null (0 for sums) on the first row.
+    The points are written out first; as many levels follow as their key range needs.
     """
+    settled = settle(points.select(key, value), "points")
+    low, high = settled.agg(F.min(key), F.max(key)).first()
+    levels = 0
+    while low is not None and (high >> GROUP_BITS * levels) - (low >> GROUP_BITS * levels) >= (
+        1 << GROUP_BITS
+    ):
+        levels += 1
+    return _prefix(settled, key, value, fold, levels)
+
+
+def _prefix(points: DataFrame, key: str, value: str, fold: str, levels: int) -> DataFrame:
     aggregate, merge = _FOLDS[fold]
     earlier = (Window.unboundedPreceding, -1)
     if levels == 0:
+        before = aggregate(value).over(Window.orderBy(key).rowsBetween(*earlier))
         return points.select(
             key,
             value,
-            aggregate(value).over(Window.orderBy(key).rowsBetween(*earlier)).alias("before"),
+            merge(before, F.lit(None)).alias("before"),
             aggregate(value).over(Window.partitionBy(F.lit(0))).alias("overall"),
         )
     group = f"{key}_up"
     grouped = points.select(key, value, F.shiftright(key, GROUP_BITS).alias(group))
-    parents = exclusive_prefix(
-        grouped.groupBy(group).agg(aggregate(value).alias(value)), group, value, fold, levels - 1
-    ).select(group, F.col("before").alias("above"), "overall")
+    folds = grouped.groupBy(group).agg(aggregate(value).alias(value))
+    parents = _prefix(folds, group, value, fold, levels - 1).select(
+        group, F.col("before").alias("above"), "overall"
+    )
     inner = Window.partitionBy(group).orderBy(key).rowsBetween(*earlier)
     return (
         grouped.withColumn("inner", aggregate(value).over(inner))

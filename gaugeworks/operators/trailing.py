@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugeworks.operators.scans import exclusive_prefix
+from gaugeworks.session import settle
 
 DAY_MS = 86_400_000
-_BEFORE_ALL = -(2**62)
 
 
 def trailing_batches(
@@ -71,18 +71,21 @@ def trailing_bounds(batches: DataFrame, horizon_ms: int = DAY_MS) -> DataFrame:
     tag by a running maximum.
     """
     tagged = batches.withColumn("tag", F.unix_millis("arrival_ts"))
-    seen = tagged.groupBy(F.coalesce("tag", F.lit(_BEFORE_ALL)).alias("t")).agg(
-        F.max("batch_id").alias("newest")
+    seen = settle(
+        tagged.groupBy(F.col("tag").alias("t")).agg(F.max("batch_id").alias("newest")), "tags"
     )
-    asked = seen.filter(F.col("t") > _BEFORE_ALL).select(
+    untagged = seen.filter(F.col("t").isNull()).first()
+    floor = -1 if untagged is None else untagged["newest"]
+    seen = seen.filter(F.col("t").isNotNull())
+    asked = seen.select(
         (F.col("t") - int(horizon_ms)).alias("t"), F.lit(None).cast("bigint").alias("newest")
     )
     points = seen.unionByName(asked).groupBy("t").agg(F.max("newest").alias("newest"))
-    bounds = exclusive_prefix(points, "t", "newest", "max", levels=3).select(
+    bounds = exclusive_prefix(points, "t", "newest", "max").select(
         (F.col("t") + int(horizon_ms)).alias("tag"),
         F.greatest("before", "newest").alias("bound"),
     )
     after = F.when(F.col("tag").isNull(), F.col("batch_id") - 1).otherwise(
-        F.coalesce("bound", F.lit(-1))
+        F.coalesce("bound", F.lit(floor))
     )
     return tagged.join(bounds, "tag", "left").withColumn("after_batch_id", after).drop("tag", "bound")
