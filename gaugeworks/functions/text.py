@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_DAY_SECONDS = 86_400
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def second_text(ts: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of a timestamp in UTC, whatever the session time zone."""
+    # Counting up from a zone-less epoch keeps the session zone out of it.
+    clock = F.timestamp_add("SECOND", F.unix_seconds(ts), F.expr(_EPOCH))
+    return F.replace(clock.cast("string"), F.lit(" "), F.lit("T"))
 
 
 def instant_text(ts: Column) -> Column:
@@ -12,22 +19,14 @@ def instant_text(ts: Column) -> Column:
 
     The fraction is left out when zero and otherwise has three or six digits.
     """
-    seconds = F.unix_seconds(ts)
-    of_day = F.pmod(seconds, F.lit(_DAY_SECONDS))
-    days = ((seconds - of_day) / _DAY_SECONDS).cast("int")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    digits = F.lpad(micros.cast("string"), 6, "0")
     fraction = (
         F.when(micros == 0, F.lit(""))
-        .when(micros % 1000 == 0, F.format_string(".%03d", (micros / 1000).cast("int")))
-        .otherwise(F.format_string(".%06d", micros))
-    )
-    clock = F.format_string(
-        "T%02d:%02d:%02d",
-        F.floor(of_day / 3600),
-        F.floor(of_day % 3600 / 60),
-        of_day % 60,
+        .when(micros % 1000 == 0, F.concat(F.lit("."), F.left(digits, F.lit(3))))
+        .otherwise(F.concat(F.lit("."), digits))
     )
-    return F.concat(F.date_from_unix_date(days).cast("string"), clock, fraction, F.lit("Z"))
+    return F.concat(second_text(ts), fraction, F.lit("Z"))
 
 
 def text_or(column: Column, default: str) -> Column:

@@ -25,7 +25,9 @@ def parse_latency(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Result text may hold commas: latency is the first part, the two times are the last ones.
     Lines with fewer than three parts, or without a whole number first or last, are dropped.
     """
-    split = lines.select(*keep, F.split("value", LOG_SEPARATOR, -1).alias("parts"))
+    # As in parse_readings, the one-element explode keeps later filters above the split.
+    parts = F.explode(F.array(F.split("value", LOG_SEPARATOR, -1)))
+    split = lines.select(*keep, parts.alias("parts"))
     size = F.size("parts")
     parsed = split.filter(size >= LOG_MIN_PARTS).select(
         *keep,

@@ -133,7 +133,7 @@ def write_line_files(spark: SparkSession, sf: str, kind: str) -> str:
     header = F.struct(F.lit(0).alias("place"), F.lit(header_text(kind)).alias("value"))
     line = F.struct(F.lit(1).alias("place"), line_text(kind).alias("value"))
     first = F.col("event_id") % per_file == 0
-    entries = F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line)))
+    entries = F.explode(F.array_compact(F.array(F.when(first, header), line)))
     run = F.format_string("%012d", F.expr(f"event_id div {per_file}"))
     (
         events.select("event_id", run.alias("run"), entries.alias("entry"))
@@ -331,12 +331,13 @@ def _latencies(spark: SparkSession, sf: str) -> DataFrame:
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     """The latency log as lines, every 13th of them broken in one of three ways."""
     lines = latency.latency_line(_latencies(spark, sf))
-    broken = (
-        F.when(F.col("ord") % 39 == 0, F.lit(""))
-        .when(F.col("ord") % 39 == 13, F.concat(F.lit("x"), F.col("value")))
-        .when(F.col("ord") % 39 == 26, F.concat_ws(",", "latency_ms", "ingestion_ts_ms"))
+    case = F.col("ord") % 39
+    value = (
+        F.when(case == 0, F.lit(""))
+        .when(case == 26, F.concat_ws(",", "latency_ms", "ingestion_ts_ms"))
+        .otherwise(F.concat(F.when(case == 13, F.lit("x")).otherwise(F.lit("")), F.col("value")))
     )
-    return lines.select("ord", F.coalesce(broken, F.col("value")).alias("value"))
+    return lines.select("ord", value.alias("value"))
 
 
 def latency_compute(spark: SparkSession, sf: str) -> DataFrame:

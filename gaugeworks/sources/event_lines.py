@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugeworks.functions.text import instant_text
+from gaugeworks.functions.text import second_text
 from gaugeworks.schemas import METRIC_FIELDS, layout
 
 NO_VALUE_EVERY = 17
@@ -50,7 +50,7 @@ def _metric_texts(kind: str) -> list[Column]:
 def line_text(kind: str, stamped: bool = True) -> Column:
     """The line of an event as text."""
     user = F.col("user_id")
-    time = F.substring(instant_text(F.col("ts")), 1, 19)
+    time = second_text(F.col("ts"))
     line = F.concat_ws(
         ";",
         F.when(_every(BAD_SENSOR_EVERY), F.lit("x")).otherwise(user.cast("string")),
@@ -74,9 +74,8 @@ def event_lines(events: DataFrame, kind: str, stamped: bool = True) -> DataFrame
     def entry(after: int, text: Column) -> Column:
         return F.struct((F.col("event_id") * 2 + after).alias("ord"), text.alias("value"))
 
-    line = entry(1, line_text(kind, stamped))
-    header = entry(0, F.lit(header_text(kind)))
-    entries = F.when(_every(HEADER_EVERY), F.array(header, line)).otherwise(F.array(line))
+    header = F.when(_every(HEADER_EVERY), entry(0, F.lit(header_text(kind))))
+    entries = F.array_compact(F.array(header, entry(1, line_text(kind, stamped))))
     return events.select("event_id", "ts", F.explode(entries).alias("e")).select(
         "e.ord", "event_id", "ts", "e.value"
     )
