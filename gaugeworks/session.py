@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def build_session(app: str = "gaugeworks", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@lru_cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="gaugeworks-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
 
@@ -39,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="gaugeworks-")
+        return _local_folder(spark.sparkContext.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

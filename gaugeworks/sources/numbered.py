@@ -38,26 +38,17 @@ def number_file_lines(
     splits = located.groupBy("file", "block").agg(
         (F.count(F.lit(1)) - skipped).alias("size"), F.min("row").alias("first_row")
     )
-    # Splits of one file, then files: both are counts of metadata, never of lines.
-    files = splits.groupBy("file").agg(F.sum("size").alias("file_size"))
-    before = (Window.unboundedPreceding, -1)
-    files = files.select(
-        "file",
-        F.sum("file_size").over(Window.orderBy("file").rowsBetween(*before)).alias("file_start"),
-        F.sum("file_size").over(Window.partitionBy(F.lit(0))).alias("total"),
-    )
-    in_file = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(*before))
+    # One row per split, not per line: this is as small as the scan's own list of splits.
+    in_order = Window.orderBy("file", "block")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        splits.withColumn("split_start", in_file)
-        .join(files, "file")
+        splits.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(0))))
         .select(
             "file",
             "block",
-            (
-                F.coalesce("file_start", F.lit(0)) + F.coalesce("split_start", F.lit(0))
-                - F.col("first_row") - skipped
-            ).alias("shift"),
             (F.col("first_row") + skipped).alias("first_kept"),
+            (F.col("start") - F.col("first_row") - skipped).alias("shift"),
             "total",
         )
     )
