@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeworks.schemas import HEADER_PREFIX
@@ -27,15 +25,11 @@ def valid_readings(readings: DataFrame, metric: str = "temperature") -> DataFram
 
 def rejected_readings(readings: DataFrame, metric: str = "temperature") -> DataFrame:
     """Readings without key, event time or value, with the list of reasons for each."""
-    reasons = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(name).isNull(), F.lit(f"no_{name}"))
-                for name in ("sensor_id", "timestamp", metric)
-            ]
-        )
-    )
-    return readings.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    needed = ("sensor_id", "timestamp", metric)
+    missing = [F.col(name).isNull() for name in needed]
+    reasons = [F.when(gone, F.lit(f"no_{name}")) for gone, name in zip(missing, needed)]
+    rejected = readings.filter(missing[0] | missing[1] | missing[2])
+    return rejected.withColumn("reasons", F.split(F.concat_ws(",", *reasons), ",", -1))
 
 
 def reject_report(readings: DataFrame, metric: str = "temperature") -> DataFrame:

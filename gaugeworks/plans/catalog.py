@@ -131,12 +131,13 @@ def write_line_files(spark: SparkSession, sf: str, kind: str) -> str:
     newest = events.agg(F.max("event_id")).first()[0]
     per_file = min(FILE_EVENTS, newest // 3 + 1)
     header = F.struct(F.lit(0).alias("place"), F.lit(header_text(kind)).alias("value"))
-    line = F.struct(F.lit(1).alias("place"), line_text(kind).alias("value"))
+    line = F.struct(F.lit(1).alias("place"), F.col("text").alias("value"))
     first = F.col("event_id") % per_file == 0
-    entries = F.explode(F.array_compact(F.array(F.when(first, header), line)))
+    entries = F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line)))
     run = F.format_string("%012d", F.expr(f"event_id div {per_file}"))
     (
-        events.select("event_id", run.alias("run"), entries.alias("entry"))
+        events.select("event_id", line_text(kind).alias("text"))
+        .select("event_id", run.alias("run"), entries.alias("entry"))
         .repartition("run")
         .sortWithinPartitions("run", "event_id", "entry.place")
         .select("run", "entry.value")

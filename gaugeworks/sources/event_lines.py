@@ -74,8 +74,11 @@ def event_lines(events: DataFrame, kind: str, stamped: bool = True) -> DataFrame
     def entry(after: int, text: Column) -> Column:
         return F.struct((F.col("event_id") * 2 + after).alias("ord"), text.alias("value"))
 
-    header = F.when(_every(HEADER_EVERY), entry(0, F.lit(header_text(kind))))
-    entries = F.array_compact(F.array(header, entry(1, line_text(kind, stamped))))
-    return events.select("event_id", "ts", F.explode(entries).alias("e")).select(
+    # Plain arrays of a ready text: array functions with lambdas would leave generated code.
+    line = entry(1, F.col("text"))
+    header = entry(0, F.lit(header_text(kind)))
+    entries = F.when(_every(HEADER_EVERY), F.array(header, line)).otherwise(F.array(line))
+    texts = events.select("event_id", "ts", line_text(kind, stamped).alias("text"))
+    return texts.select("event_id", "ts", F.explode(entries).alias("e")).select(
         "e.ord", "event_id", "ts", "e.value"
     )
