@@ -23,16 +23,29 @@ def reading_columns(fields: Column, kind: str) -> list[Column]:
 
 
 def parse_readings(
-    lines: DataFrame, kind: str, keep: Sequence[str] = (), column: str = "value"
+    lines: DataFrame,
+    kind: str,
+    keep: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Parse ``column`` of each row as a line of ``kind``; ``keep`` columns pass through.
+    """Parse each line as a reading of ``kind``; ``keep`` columns pass through.
 
     The split is exploded from a one-element array, which the optimizer does not look through:
     otherwise every later null filter would be moved below the split and repeat it per field.
-    Typed columns that are not used later are still pruned.
+    Typed columns that are not used later are still pruned, but those that are filtered on are
+    read twice. With ``columns`` just these are parsed, once each: the whole reading is then
+    what is exploded.
     """
-    split = lines.select(*keep, F.explode(F.array(split_fields(F.col(column)))).alias(_FIELDS))
-    return split.select(*keep, *reading_columns(F.col(_FIELDS), kind))
+    split = lines.select(*keep, F.explode(F.array(split_fields(F.col("value")))).alias(_FIELDS))
+    parsed = reading_columns(F.col(_FIELDS), kind)
+    if columns is None:
+        return split.select(*keep, *parsed)
+    names = [name for name, _ in layout(kind)] + [STAMP]
+    unknown = set(columns) - set(names)
+    if unknown:
+        raise ValueError(f"a {kind} reading has no {sorted(unknown)}")
+    wanted = [column for name, column in zip(names, parsed) if name in columns]
+    return split.select(*keep, F.inline(F.array(F.struct(*wanted))))
 
 
 def parse_base(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -20,10 +20,10 @@ from gaugeworks.operators.latency import (
     relative_time,
     rolling_avg,
 )
-from gaugeworks.operators.parsing import parse_bme280, reading_columns
+from gaugeworks.operators.parsing import parse_readings, reading_columns
 from gaugeworks.operators.scans import number_rows
 from gaugeworks.operators.windows import tumbling_avg
-from gaugeworks.schemas import HEADER_PREFIX
+from gaugeworks.schemas import HEADER_PREFIX, STAMP
 from gaugeworks.sinks.lines import line_sink
 from gaugeworks.sources.lines import read_lines
 from gaugeworks.sources.numbered import number_file_lines
@@ -75,8 +75,10 @@ def windowed_temperature(
     lines: DataFrame, duration: str = "1 minute", delay: str = "0 seconds"
 ) -> DataFrame:
     """BME280 lines, table or stream, to average temperature per sensor and window."""
-    readings = valid_readings(parse_bme280(drop_headers(lines)))
-    return tumbling_avg(with_event_time(readings, delay), duration)
+    readings = parse_readings(
+        drop_headers(lines), "bme280", columns=["sensor_id", "timestamp", "temperature", STAMP]
+    )
+    return tumbling_avg(with_event_time(valid_readings(readings), delay), duration)
 
 
 def windowed_temperature_file(

@@ -69,6 +69,16 @@ def test_schema_matches_layout(frame, kind):
         reading_schema("other")
 
 
+def test_chosen_columns_only(frame):
+    from gaugeworks.operators.parsing import parse_readings
+
+    some = parse_readings(frame(BASE), "bme280", columns=["timestamp", "sensor_id"])
+    assert some.columns == ["sensor_id", "timestamp"]
+    assert tuple(some.first()) == (21358, T)
+    with pytest.raises(ValueError):
+        parse_readings(frame(BASE), "base", columns=["humidity"])
+
+
 # What the line format accepts, as a plain model.
 
 
