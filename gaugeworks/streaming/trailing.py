@@ -7,6 +7,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gaugeworks.operators.trailing import DAY_MS
 
+SLICE_ROWS = 1000
+
 
 def trailing_batches_stream(
     batches: DataFrame, key: str, horizon_ms: int = DAY_MS, arrival_col: str | None = "arrival_ts"
@@ -24,6 +26,7 @@ def trailing_batches_stream(
     # With an engine watermark the event-time column must reach the stateful operator.
     extra = [] if carried else ["event_ts"]
     arriving = batches.select(key, "batch_id", tag.alias("tag"), *extra)
+    slice_rows = SLICE_ROWS
     key_type = batches.schema[key].dataType.simpleString()
 
     def keep_window(group, chunks, state):
@@ -33,31 +36,33 @@ def trailing_batches_stream(
         now = None
         if not carried:
             now = state.getCurrentWatermarkMs() or None  # 0 means no watermark yet
+        # Ids and tags only; the lists go out a slice at a time and are never all in memory.
         rows = pd.concat(list(chunks)).sort_values("batch_id")
-        out_ids, out_tags, windows = [], [], []
-        for batch_id, row_tag in zip(rows["batch_id"], rows["tag"]):
-            current = now if not carried else (None if pd.isna(row_tag) else int(row_tag))
-            if current is None:
-                ids, tags = [], []
-            else:
-                live = [
-                    (i, t) for i, t in zip(ids, tags) if t is not None and t > current - horizon_ms
-                ]
-                ids, tags = [i for i, _ in live], [t for _, t in live]
-            ids.append(int(batch_id))
-            tags.append(current)
-            out_ids.append(int(batch_id))
-            out_tags.append(current)
-            windows.append(list(ids))
+        for start in range(0, len(rows), slice_rows):
+            part = rows.iloc[start : start + slice_rows]
+            out_tags, windows = [], []
+            for batch_id, row_tag in zip(part["batch_id"], part["tag"]):
+                current = now if not carried else (None if pd.isna(row_tag) else int(row_tag))
+                live = []
+                if current is not None:
+                    live = [
+                        (i, t)
+                        for i, t in zip(ids, tags)
+                        if t is not None and t > current - horizon_ms
+                    ]
+                ids = [i for i, _ in live] + [int(batch_id)]
+                tags = [t for _, t in live] + [current]
+                out_tags.append(current)
+                windows.append(ids)
+            yield pd.DataFrame(
+                {
+                    key: [group[0]] * len(part),
+                    "batch_id": list(part["batch_id"]),
+                    "tag": pd.array(out_tags, dtype="Int64"),
+                    "window_ids": windows,
+                }
+            )
         state.update((ids, tags))
-        yield pd.DataFrame(
-            {
-                key: [group[0]] * len(out_ids),
-                "batch_id": out_ids,
-                "tag": pd.array(out_tags, dtype="Int64"),
-                "window_ids": windows,
-            }
-        )
 
     return arriving.groupBy(key).applyInPandasWithState(
         keep_window,

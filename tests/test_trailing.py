@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.trailing import DAY_MS, trailing_batches, trailing_bounds
+from gaugeworks.streaming import trailing as stream_trailing
 from gaugeworks.streaming.runs import run_available
 from gaugeworks.streaming.trailing import trailing_batches_stream
 
@@ -80,7 +81,8 @@ def test_carried_columns(spark):
     ]
 
 
-def test_stream_equals_replay_over_restarts(spark, tmp_path):
+def test_stream_equals_replay_over_restarts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_trailing, "SLICE_ROWS", 7)
     rows = sample(9, 120, 3, 40)
     source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     for part in (rows[:50], rows[50:51], rows[51:]):
