@@ -1,9 +1 @@
 """Operators for preparing training text: quality, tokens, duplicates, extraction, packing, mixing."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Batch functions travel to the executors with the code they use, so that the operators also work
-# where the executors do not have this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

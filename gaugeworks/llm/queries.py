@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.mixing import mix_documents
+from gaugeworks.llm.packing import pack_documents
 from gaugeworks.llm.quality import fit, score_documents
+from gaugeworks.llm.shipping import ship_package
+
+
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
