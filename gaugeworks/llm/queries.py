@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.mixing import mix_documents
 from gaugeworks.llm.packing import pack_documents
 from gaugeworks.llm.quality import fit, score_documents
 from gaugeworks.llm.shipping import ship_package
+from gaugeworks.llm.substrings import remove_repeats
 
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +29,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -41,7 +48,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op3_substring_dedup, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
