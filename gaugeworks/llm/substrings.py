@@ -296,10 +296,15 @@ def _is_listed(names, texts, doc_ids, ids, keys) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    verbatim: bool = False,
 ) -> DataFrame:
     """Per row: ``row`` (its other columns), n_words, n_removed and kept, the words left.
 
+    With ``verbatim`` the text of a row that loses nothing is kept as it is, white space and all.
     Three passes over the texts; between them only names travel.
     """
     others = [c for c in docs.columns if c != text_col]
@@ -350,13 +355,13 @@ def remove_repeats(
         kept = []
         for k, count in enumerate(words.counts):
             i, j = words.first[k], words.first[k + 1]
+            whole = data[words.text_start[k] : words.text_start[k + 1] - 1]
             if removed[k]:
-                spans = [
-                    data[words.start[w] : words.end[w]] for w in range(i, j) if not gone[w]
-                ]
-            else:
-                spans = data[words.text_start[k] : words.text_start[k + 1] - 1].split()
-            kept.append(b" ".join(spans).decode("utf-8"))
+                left = (w for w in range(i, j) if not gone[w])
+                whole = b" ".join(data[words.start[w] : words.end[w]] for w in left)
+            elif not verbatim:
+                whole = b" ".join(whole.split())
+            kept.append(whole.decode("utf-8"))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("row"),
