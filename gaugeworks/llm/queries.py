@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.mixing import mix_documents
+from gaugeworks.llm.nearest import top_k
 from gaugeworks.llm.packing import pack_documents
 from gaugeworks.llm.quality import fit, score_documents
 from gaugeworks.llm.shipping import ship_package
@@ -35,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -48,7 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op3_substring_dedup, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op3_substring_dedup, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
