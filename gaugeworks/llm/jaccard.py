@@ -6,10 +6,10 @@ similar enough must share a shingle among their first few in that order, the pre
 the same prefix and size form one group, and only groups are matched by prefix shingle.
 
 Matching never lists all pairs of a busy shingle: first every node is compared with one likely
-partner, its group's or its bucket's first node; connected nodes then form components, and of
-each bucket only pairs from different components are expanded to members. Those pairs are
-counted by shared prefix shingles, which bounds the overlap, and survivors are verified on the
-whole sets. All links between different components are found, so the components are exact.
+partner, its group's head or the central node of a bucket; connected nodes then form components,
+and of each bucket only pairs from different components are expanded to members, where the
+places of shared shingles allow a link at all. Those pairs are counted by shared prefix shingles,
+which bounds the overlap, and survivors are verified on the whole sets. All links between different components are found, so the components are exact.
 
 Names of shingles have 63 bits and nodes 128 bits; the method is exact but for equal names of
 different shingles within one verified pair.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.llm.graph import components
 from gaugeworks.llm.hashing import Words, mix, powers, slices, window_names
-from gaugeworks.session import settle
+from gaugeworks.session import forget, settle
 
 WIDTH = 3
 # Similarity of at least NUMERATOR / DENOMINATOR.
@@ -157,27 +157,36 @@ def _prefix_size(n: Column) -> Column:
     return n + 1 - F.ceil(NUMERATOR * n / DENOMINATOR)
 
 
-def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of node numbers whose whole sets are similar enough."""
     pairs = settle(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = reps.join(wanted, "node", "left_semi").withColumnRenamed("doc_id", "rep_id")
+    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+    named = nodes.join(wanted, "nid", "left_semi").select(
+        "nid", "node", F.col("doc_id").alias("rep_id")
+    )
 
     def whole(batches):
         for batch in slices(batches, "text"):
             sets = _raw_sets(batch.column("text"), width)
+            numbers, nodes_of = batch.column("nid").to_pylist(), batch.column("node").to_pylist()
             kept = [
-                (node, s.tobytes())
-                for node, s in zip(batch.column("node").to_pylist(), sets)
+                (number, s.tobytes())
+                for number, node, s in zip(numbers, nodes_of, sets)
                 if _node(s) == node
             ]
-            columns = list(zip(*kept)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()) for c in columns], names=["node", "names"]
+                [
+                    pa.array([k for k, _ in kept], pa.int64()),
+                    pa.array([s for _, s in kept], pa.binary()),
+                ],
+                names=["nid", "names"],
             )
 
-    sets = texts.join(named, texts["doc_id"].eqNullSafe(named["rep_id"])).select("node", "text")
-    sets = settle(sets.mapInArrow(whole, "node binary, names binary"), "sets").dropDuplicates(["node"])
+    sets = texts.join(named, texts["doc_id"].eqNullSafe(named["rep_id"])).select(
+        "nid", "node", "text"
+    )
+    stored = settle(sets.mapInArrow(whole, "nid bigint, names binary"), "sets")
+    sets = stored.dropDuplicates(["nid"])
 
     def compare(batches):
         for batch in batches:
@@ -189,10 +198,22 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("names").alias("names_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("names").alias("names_b"))
+    left = sets.select(F.col("nid").alias("a"), F.col("names").alias("names_a"))
+    right = sets.select(F.col("nid").alias("b"), F.col("names").alias("names_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "names_a", "names_b")
-    return settle(joined.mapInArrow(compare, "a binary, b binary"), "verified")
+    links = settle(joined.mapInArrow(compare, "a bigint, b bigint"), "verified")
+    forget(stored, pairs)
+    return links
+
+
+def _overlap_possible(common: Column, beyond: Column, sum_n: Column) -> Column:
+    """An overlap of at most ``common + beyond`` can still reach the similarity."""
+    return (DENOMINATOR + NUMERATOR) * (common + beyond) >= NUMERATOR * sum_n
+
+
+def _beyond(n: Column) -> Column:
+    """Shingles of a set that are not in its prefix."""
+    return n - _prefix_size(n)
 
 
 def near_duplicates(
@@ -202,111 +223,148 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = settle(shingled(texts, frequent_shingles(texts, width), width), "shingled")
 
-    # Nodes: one per distinct set, with a row to fetch the text from.
+    # Nodes, one per distinct set, numbered, with a row to fetch the text from.
     nodes = settle(
         rows.filter(F.col("n") > 0)
         .groupBy("node", "n", "grp", "last")
-        .agg(F.min("doc_id").alias("doc_id")),
+        .agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
     )
-    reps = nodes.select("node", "doc_id")
     groups = nodes.groupBy("grp").agg(
-        F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n")
+        F.min(F.struct("nid", "node", "n")).alias("head"), F.count(F.lit(1)).alias("members")
+    )
+    heads = settle(
+        groups.select("grp", "members", "head.nid", "head.node", "head.n").withColumnRenamed(
+            "nid", "gid"
+        ),
+        "heads",
     )
-    heads = settle(groups, "groups")
 
     # Prefix shingles of group heads that more than one node holds.
-    head_rows = rows.select("node", "prefix").join(
-        heads.select(F.col("head").alias("node"), "grp", "members", "n"), "node"
-    )
     tokens = (
-        head_rows.dropDuplicates(["node"])
-        .withColumn("token", F.explode("prefix"))
-        .select("token", "grp", "members", "n", F.col("node").alias("head"))
+        rows.select("node", "prefix")
+        .join(heads.select("node", "gid", "members"), "node")
+        .dropDuplicates(["node"])
+        .select("gid", "members", F.posexplode("prefix").alias("pos", "token"))
     )
+    tokens = settle(tokens, "tokens")
     shared = (
         tokens.groupBy("token").agg(F.sum("members").alias("holders")).filter(F.col("holders") > 1)
     )
-    buckets = settle(tokens.join(shared.select("token"), "token"), "buckets").withColumn(
-        "band", _band(F.col("n"))
+    buckets = settle(
+        tokens.select("token", "gid", "pos").join(shared.select("token"), "token"), "buckets"
     )
-
-    # First comparison: members with the head of their group, heads with the head of the bucket
-    # (token and size band) they share most shingles with.
-    within = nodes.join(heads.filter("members > 1").select("grp", "head"), "grp").select(
-        F.col("head").alias("a"), F.col("node").alias("b")
+    forget(tokens)
+    sizes = heads.select("gid", "n", _band(F.col("n")).alias("band"))
+    placed = settle(buckets.join(sizes, "gid"), "placed")
+
+    # First comparison. Members meet the head of their group; heads meet the set that holds one
+    # of their shingles earliest, which of all holders has fewest shingles of its own.
+    within = nodes.join(heads.filter("members > 1").select("grp", "gid"), "grp").select(
+        F.col("gid").alias("a"), F.col("nid").alias("b")
+    )
+    centres = placed.groupBy("token", "band").agg(F.min(F.struct("pos", "gid", "n")).alias("c"))
+    reached = centres.select(
+        "token",
+        F.col("c.gid").alias("a"),
+        F.col("c.n").alias("n_a"),
+        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
     )
-    firsts = buckets.groupBy("token", "band").agg(F.min("head").alias("a"))
-    reached = firsts.select("token", "a", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     likely = (
-        buckets.join(reached, ["token", "band"])
-        .filter(F.col("a") < F.col("head"))
-        .groupBy("a", F.col("head").alias("b"))
+        placed.join(reached, ["token", "band"])
+        .filter((F.col("a") != F.col("gid")) & _may_link(F.col("n_a"), F.col("n")))
+        .groupBy("a", F.col("gid").alias("b"), "n_a", "n")
         .agg(F.count(F.lit(1)).alias("common"))
+        .filter(
+            _overlap_possible(
+                F.col("common"),
+                F.greatest(_beyond(F.col("n_a")), _beyond(F.col("n"))),
+                F.col("n_a") + F.col("n"),
+            )
+        )
         .groupBy("b")
         .agg(F.max(F.struct("common", "a")).alias("best"))
-        .filter(F.col("best.common") > 1)
         .select(F.col("best.a").alias("a"), "b")
     )
     star = within.filter(F.col("a") != F.col("b")).union(likely).distinct()
-    links = _verified(texts, reps, star, width)
-    found = components(links)
+    links = _verified(texts, nodes, star, width)
+    found = components(links).withColumnRenamed("node", "nid")
     rooted = settle(
-        nodes.join(found, "node", "left").select(
-            "node", "n", "grp", "last", F.coalesce("root", "node").alias("root")
+        nodes.join(found, "nid", "left").select(
+            "nid", "n", "grp", "last", F.coalesce("root", "nid").alias("root")
         ),
         "rooted",
     )
 
-    # Second comparison: pairs of different components only, per token and size band.
-    mixed = (
-        buckets.select("token", "grp", "band")
-        .join(rooted, "grp")
-        .select("token", "band", "node", "n", "last", "root")
+    # Second comparison: pairs of different components only, per token and size band. The first
+    # shingle that two linked sets share stands early in both: ``early`` is how early any shared
+    # shingle of a node stands, and of two linked nodes the smaller one has it in a short prefix.
+    early = buckets.groupBy("gid").agg(F.min("pos").alias("early"))
+    sides = (
+        rooted.join(heads.select("grp", "gid"), "grp")
+        .join(early, "gid")
+        .select("gid", "nid", "n", "last", "root", "early", _band(F.col("n")).alias("band"))
+    )
+    mixed = buckets.select("token", "gid").join(sides, "gid")
+    total = NUMERATOR + DENOMINATOR
+    short = mixed.filter(total * (F.col("n") - F.col("early")) >= 2 * NUMERATOR * F.col("n"))
+    smaller = short.select(
+        "token",
+        *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "band")),
     )
-    kinds = mixed.select("token", "band", "root").distinct()
-    lower = kinds.select(
-        "token", F.col("root").alias("root_a"), F.col("band").alias("band_a"),
-        F.explode(F.array("band", F.col("band") + 1)).alias("band"),
+    larger = mixed.select(
+        "token",
+        "band",
+        *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early")),
     )
+    kinds = larger.select("token", "band", "root_b").distinct()
     meetings = (
-        lower.join(kinds.withColumnRenamed("root", "root_b"), ["token", "band"])
-        .filter(
-            (F.col("root_a") != F.col("root_b"))
-            & ((F.col("band_a") != F.col("band")) | (F.col("root_a") < F.col("root_b")))
-        )
+        smaller.select("token", "root_a", "band_a")
+        .distinct()
+        .withColumn("band", F.explode(F.array("band_a", F.col("band_a") + 1)))
+        .join(kinds, ["token", "band"])
+        .filter(F.col("root_a") != F.col("root_b"))
     )
-    side = ["token", "root", "band", "node", "n", "last"]
-    left = mixed.select(*(F.col(c).alias(c if c == "token" else f"{c}_a") for c in side))
-    right = mixed.select(*(F.col(c).alias(c if c in ("token", "band") else f"{c}_b") for c in side))
+    needed = NUMERATOR * (F.col("n_a") + F.col("n_b"))
     first_ends = F.col("last_a") <= F.col("last_b")
     common = (
-        meetings.join(left, ["token", "root_a", "band_a"])
-        .join(right, ["token", "root_b", "band"])
-        .filter(_may_link(F.col("n_a"), F.col("n_b")))
-        .withColumn("swap", F.col("node_a") > F.col("node_b"))
+        meetings.join(smaller, ["token", "root_a", "band_a"])
+        .join(larger, ["token", "root_b", "band"])
+        .filter(
+            _may_link(F.col("n_a"), F.col("n_b"))
+            & (
+                (F.col("n_a") < F.col("n_b"))
+                | ((F.col("n_a") == F.col("n_b")) & (F.col("nid_a") < F.col("nid_b")))
+            )
+            & (total * (F.col("n_a") - F.col("early_a")) >= needed)
+            & (total * (F.col("n_b") - F.col("early_b")) >= needed)
+        )
         .select(
-            F.least("node_a", "node_b").alias("a"),
-            F.greatest("node_a", "node_b").alias("b"),
+            F.col("nid_a").alias("a"),
+            F.col("nid_b").alias("b"),
             (F.col("n_a") + F.col("n_b")).alias("sum_n"),
-            F.when(first_ends, F.col("n_a") - _prefix_size(F.col("n_a")))
-            .otherwise(F.col("n_b") - _prefix_size(F.col("n_b")))
-            .alias("beyond"),
+            F.when(first_ends, _beyond(F.col("n_a"))).otherwise(_beyond(F.col("n_b"))).alias("beyond"),
         )
         .groupBy("a", "b", "sum_n", "beyond")
         .agg(F.count(F.lit(1)).alias("common"))
     )
     # Whichever prefix ends first: all its shingles that the other set holds are in ``common``.
     possible = common.filter(
-        (DENOMINATOR + NUMERATOR) * (F.col("common") + F.col("beyond"))
-        >= NUMERATOR * F.col("sum_n")
+        _overlap_possible(F.col("common"), F.col("beyond"), F.col("sum_n"))
+    )
+    more = _verified(texts, nodes, possible, width)
+    final = components(links.union(more)).withColumnRenamed("node", "nid")
+
+    labelled = nodes.select("node", "nid").join(final, "nid", "left")
+    labelled = labelled.select("node", F.coalesce("root", "nid").alias("root"))
+    keyed = rows.select("doc_id", "n", "node").join(labelled, "node", "left")
+    least = (
+        nodes.select("node", "doc_id")
+        .join(labelled, "node")
+        .groupBy("root")
+        .agg(F.min("doc_id").alias("least"))
     )
-    more = _verified(texts, reps, possible, width)
-    final = components(links.union(more))
-
-    placed = rows.select("doc_id", "n", "node").join(final, "node", "left")
-    keyed = placed.withColumn("root", F.coalesce("root", "node"))
-    least = keyed.filter(F.col("n") > 0).groupBy("root").agg(F.min("doc_id").alias("least"))
     return keyed.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

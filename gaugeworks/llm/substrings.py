@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gaugeworks.llm.hashing import Words, mix, slices, window_names
-from gaugeworks.session import release, settle
+from gaugeworks.session import forget, settle
 
 WIDTH = 13
 ROUNDS = 8
@@ -374,11 +374,10 @@ def remove_repeats(
 
     packed = rows.select("id", "text").mapInArrow(name_anchors, PACKED)
     shared = settle(repeated_names(packed, buckets, later_only=False), "anchors")
-    release(docs.sparkSession)
     slim = rows.select(F.struct("id").alias("row"), "id", "text")
     candidates = _beside_lists(slim, shared, buckets, name_windows, PACKED)
     repeats = settle(repeated_names(candidates, buckets, later_only=True), "windows")
-    release(docs.sparkSession)
+    forget(shared)
     schema = StructType(
         [
             StructField("row", rows.schema["row"].dataType),
