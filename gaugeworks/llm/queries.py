@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.fingerprints import fingerprint_versions
 from gaugeworks.llm.jaccard import near_duplicates
+from gaugeworks.llm.licenses import scan_licenses
 from gaugeworks.llm.mixing import mix_documents
 from gaugeworks.llm.nearest import top_k
 from gaugeworks.llm.packing import pack_documents
@@ -41,6 +42,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +63,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op3_substring_dedup, op5_fingerprints, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op3_substring_dedup, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
