@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeworks.llm.extraction import extract_pages
 from gaugeworks.llm.fingerprints import fingerprint_versions
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.licenses import scan_licenses
@@ -38,6 +39,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op3_substring_dedup, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op3_substring_dedup, op4_html_extraction, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
