@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeworks.llm.attribution import section_tokens
 from gaugeworks.llm.extraction import extract_pages
 from gaugeworks.llm.fingerprints import fingerprint_versions
 from gaugeworks.llm.jaccard import near_duplicates
@@ -33,6 +34,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
@@ -68,7 +73,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op3_substring_dedup, op4_html_extraction, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query for query in (op1_quality, op2_token_counts, op3_substring_dedup, op4_html_extraction, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
 }
 
 # No operator of this subpackage has its whole result in plain SQL; tests hold them against
