@@ -59,7 +59,8 @@ def _collapse(symbols, texts, first, end):
 
 def _join_pairs(symbols, texts, first, end, level):
     """One round of pair naming. Ranges [first, end) shrink by symbols that may join outwards."""
-    right = (mix(symbols + np.uint64(level) * _FIRST) & np.uint64(1)).astype(bool)
+    salt = np.uint64(level * int(_FIRST) % 2**64)
+    right = (mix(symbols + salt) & np.uint64(1)).astype(bool)
     pair = np.zeros(len(symbols), dtype=bool)
     pair[:-1] = ~right[:-1] & right[1:] & (texts[:-1] == texts[1:])
     starts = np.ones(len(symbols), dtype=bool)
