@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -55,22 +54,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(frame: DataFrame, label: str) -> DataFrame:
-    """Write a small intermediate table to the shared folder and read it back.
-
-    For per-group or per-batch summaries that several later steps use: they are computed once,
-    survive lost executors, and their size is known when the joins with them are planned.
-    """
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+# Shuffle files go when their query ends, not when the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now.
+def settle(frame: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
 
-    Its cleaner acts when the driver happens to collect garbage; between the large steps of one
-    query that can be too late for the disks.
+    For tables that several later steps use: they are computed once, survive lost executors, their
+    size is known when the joins with them are planned, and the shuffles that made them are
+    deleted at once. ``forget`` deletes the table itself.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = frame.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    settled = spark.read.schema(frame.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that ``settle`` returned, once nothing reads them any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.settled_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
