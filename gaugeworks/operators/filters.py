@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.schemas import HEADER_PREFIX
 
@@ -13,7 +13,10 @@ def drop_headers(lines: DataFrame, prefix: str = HEADER_PREFIX) -> DataFrame:
 
 
 def stamp_lines(lines: DataFrame, stamp_col: str | None = None) -> DataFrame:
-    """Append the generator stamp (epoch ms) as last field; the current time by default."""
+    """Append the generator stamp (epoch ms) as last field; the current time by default.
+
+    The current time is that of the query, on a stream that of the start of the micro-batch.
+    """
     stamp = F.current_timestamp() if stamp_col is None else F.col(stamp_col)
     return lines.withColumn("value", F.concat_ws(",", "value", F.unix_millis(stamp)))
 
@@ -23,6 +26,15 @@ def valid_readings(readings: DataFrame, metric: str = "temperature") -> DataFram
     return readings.filter(F.col("sensor_id").isNotNull() & F.col(metric).isNotNull())
 
 
+def reject_counts(metric: str = "temperature") -> list[Column]:
+    """Aggregates for ``DataFrame.observe``: rows, and rows without key, event time or value."""
+    needed = ("sensor_id", "timestamp", metric)
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        *(F.count_if(F.col(name).isNull()).alias(f"no_{name}") for name in needed),
+    ]
+
+
 def rejected_readings(readings: DataFrame, metric: str = "temperature") -> DataFrame:
     """Readings without key, event time or value, with the list of reasons for each."""
     needed = ("sensor_id", "timestamp", metric)

@@ -9,6 +9,7 @@ from gaugeworks.schemas import STAMP, layout
 
 # Output formats.
 RESULT_FORMAT = "sensor=%d window=[%d,%d) avg=%.3f"
+RESULT_WITH_STAMP = r"^(sensor=-?\d+ window=\[-?\d+,-?\d+\) avg=[^,]+),(-?\d+)$"
 NULL_WORD = "null"
 # End of fixed values.
 

@@ -71,14 +71,25 @@ def latency_summary(latencies: DataFrame) -> DataFrame:
     )
 
 
-def relative_time(latencies: DataFrame, order_col: str = "n") -> DataFrame:
-    """Add ``rel_s``: seconds since the first row in ``order_col`` order (not the earliest time)."""
-    first = latencies.agg(F.min_by("ingestion_ts_ms", order_col)).scalar()
+def relative_time(
+    latencies: DataFrame, order_col: str = "n", source: DataFrame | None = None
+) -> DataFrame:
+    """Add ``rel_s``: seconds since the first row in ``order_col`` order (not the earliest time).
+
+    ``source`` holds the same rows where they are cheaper to read, such as a settled table that
+    ``latencies`` was derived from; the first time is looked up there.
+    """
+    rows = latencies if source is None else source
+    first = rows.agg(F.min_by("ingestion_ts_ms", order_col)).scalar()
     return latencies.withColumn("rel_s", (F.col("ingestion_ts_ms") - first) / 1000.0)
 
 
-def rolling_avg(latencies: DataFrame, rows: int = ROLLING_ROWS, order_col: str = "n") -> DataFrame:
-    """Add ``rolling_ms``, the mean of a row and the ``rows - 1`` before it; full windows only.
+def rolling_avg(
+    latencies: DataFrame, rows: int = ROLLING_ROWS, order_col: str = "n", full_only: bool = True
+) -> DataFrame:
+    """Add ``rolling_ms``, the mean of a row and the ``rows - 1`` before it.
+
+    Rows without a full window are dropped, or kept with null if not ``full_only``.
 
     ``order_col`` is dense (see ``number_rows``). Rows are cut into blocks of neighbours, and the
     last ``rows - 1`` of a block are also sent to the next one, so that blocks are independent.
@@ -91,7 +102,8 @@ def rolling_avg(latencies: DataFrame, rows: int = ROLLING_ROWS, order_col: str =
     return (
         latencies.withColumn("block", F.explode(blocks))
         .withColumn("rolling_ms", F.avg("latency_ms").over(frame))
-        .withColumn("rows_in_frame", F.count(F.lit(1)).over(frame))
-        .filter((F.col("block") == home) & (F.col("rows_in_frame") == rows))
-        .drop("block", "rows_in_frame")
+        .withColumn("full", F.count(F.lit(1)).over(frame) == rows)
+        .filter((F.col("block") == home) & (F.col("full") if full_only else F.lit(True)))
+        .withColumn("rolling_ms", F.when(F.col("full"), F.col("rolling_ms")))
+        .drop("block", "full")
     )

@@ -70,17 +70,28 @@ def _prefix(points: DataFrame, key: str, value: str, fold: str, levels: int) ->
 def number_rows(rows: DataFrame, order_col: str) -> DataFrame:
     """Add ``n`` (0, 1, 2, ... in ``order_col`` order) and ``total`` (the row count).
 
-    ``order_col`` is a unique non-null BIGINT. Rows are shuffled once, by group of neighbouring
+    ``order_col`` is a unique non-null BIGINT; a null or a repeated value ends the job with an
+    error, as there is no order to number by. Rows are shuffled once, by group of neighbouring
     order values; the join with the group offsets reuses that shuffle.
     """
-    grouped = rows.withColumn("row_group", F.shiftright(order_col, ROW_GROUP_BITS))
+    no_key = F.raise_error(F.lit(f"a row to number has no {order_col}"))
+    grouped = rows.withColumn(
+        "row_group",
+        F.when(F.col(order_col).isNull(), no_key).otherwise(
+            F.shiftright(order_col, ROW_GROUP_BITS)
+        ),
+    )
     counts = grouped.groupBy("row_group").agg(F.count(F.lit(1)).alias("rows_in_group"))
     offsets = exclusive_prefix(counts, "row_group", "rows_in_group").select(
         "row_group", "before", F.col("overall").alias("total")
     )
     within = Window.partitionBy("row_group").orderBy(order_col)
+    twice = F.lag(order_col).over(within) == F.col(order_col)
+    again = F.raise_error(F.concat(F.lit(f"two rows to number have {order_col} "), F.col(order_col)))
     return (
-        grouped.withColumn("rank_in_group", F.row_number().over(within))
+        grouped.withColumn(
+            "rank_in_group", F.when(twice, again).otherwise(F.row_number().over(within))
+        )
         .join(offsets, "row_group")
         .withColumn("n", F.col("before") + F.col("rank_in_group") - 1)
         .drop("row_group", "rank_in_group", "before")

@@ -1,15 +1,17 @@
 """Trailing windows of batches: what is still within the horizon when a batch arrives.
 
-Input rows carry a key, ``batch_id`` in arrival order and ``arrival_ts``, the watermark met on
-arrival (see ``batch_event_time``), which never decreases. A batch that arrives before any
+Input rows carry ``batch_id`` in arrival order and ``arrival_ts``, the watermark met on arrival (see
+``batch_event_time``), which never decreases with the id. A batch that arrives before any
 watermark is tagged null; it sees only itself and no later batch sees it.
+
+The window of a batch is the batches ``b`` of its key with ``after_batch_id < b <= batch_id``. As tags
+never decrease, the bound follows from the tag alone: it is the newest batch whose tag is at
+least a horizon older. So windows take constant space each, and no work is grouped by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gaugeworks.operators.scans import exclusive_prefix
 from gaugeworks.session import settle
@@ -17,75 +19,76 @@ from gaugeworks.session import settle
 DAY_MS = 86_400_000
 
 
-def trailing_batches(
-    batches: DataFrame,
-    key: str,
-    horizon_ms: int = DAY_MS,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Per batch, the list of the key's batches of the trailing horizon, itself included.
+def newest_per_tag(batches: DataFrame) -> DataFrame:
+    """Per tag ``t`` the oldest and newest batch id; the null tag is one of the rows."""
+    tag = F.unix_millis("arrival_ts").alias("t")
+    return batches.groupBy(tag).agg(
+        F.min("batch_id").alias("oldest"), F.max("batch_id").alias("newest")
+    )
+
+
+def add_bounds(batches: DataFrame, seen: DataFrame, horizon_ms: int = DAY_MS) -> DataFrame:
+    """Add ``after_batch_id``, given the tags of these and all earlier batches in the horizon.
 
-    Adds ``window_ids``, or ``window_batches`` with ids and the ``carry`` columns (such as
-    ``measurements``). A batch is out once its tag is a full horizon old. Each key is cut into
-    slots of one horizon and a row is sent to its own slot and the next, so a busy key spreads
-    over as many tasks as there are slots. The lists themselves grow with the number of batches
-    per horizon; ``trailing_bounds`` says the same in constant space per batch.
+    ``seen`` has the columns of ``newest_per_tag``. Ids of all keys must come from one sequence
+    in which tags never fall; a tag that starts before an older one ends is an error.
     """
-    tag = F.unix_millis("arrival_ts")
-    slot = F.expr(f"floor(tag / {int(horizon_ms)})").cast("bigint")
-    slots = F.when(F.col("tag").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(
-        F.array(slot, slot + 1)
+    untagged = seen.filter(F.col("t").isNull()).agg(F.max("newest")).first()[0]
+    floor = -1 if untagged is None else untagged
+    seen = seen.filter(F.col("t").isNotNull())
+    asked = seen.select(
+        (F.col("t") - int(horizon_ms)).alias("t"),
+        F.lit(None).cast("bigint").alias("oldest"),
+        F.lit(None).cast("bigint").alias("newest"),
     )
-    spread = (
-        batches.select(key, "batch_id", "arrival_ts", *carry)
-        .withColumn("tag", tag)
-        .withColumn("home", slot)
-        .withColumn("slot", F.explode(slots))
+    points = settle(
+        seen.select("t", "oldest", "newest")
+        .unionByName(asked)
+        .groupBy("t")
+        .agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest")),
+        "tags",
     )
-    untagged = F.when(F.col("tag").isNull(), F.col("batch_id"))
-    frame = (
-        Window.partitionBy(key, "slot", untagged)
-        .orderBy("tag")
-        .rangeBetween(-(int(horizon_ms) - 1), 0)
+    falls = F.raise_error(F.lit("arrival times fall while batch ids rise"))
+    bounds = (
+        exclusive_prefix(points, "t", "newest", "max")
+        .join(points.select("t", "oldest"), "t")
+        .select(
+            (F.col("t") + int(horizon_ms)).alias("tag"),
+            F.when(F.col("before") > F.col("oldest"), falls)
+            .otherwise(F.greatest("before", "newest"))
+            .alias("bound"),
+        )
     )
-    members = F.sort_array(F.collect_list(F.struct("batch_id", *carry)).over(frame))
-    listed = (
-        spread.withColumn("members", members)
-        .filter(F.col("slot").eqNullSafe(F.col("home")))
-        # Equal tags are peers in the frame; the later ones have not arrived yet.
-        .withColumn("members", F.filter("members", lambda m: m["batch_id"] <= F.col("batch_id")))
+    tagged = batches.withColumn("tag", F.unix_millis("arrival_ts"))
+    after = F.when(F.col("tag").isNull(), F.col("batch_id") - 1).otherwise(
+        F.coalesce("bound", F.lit(floor))
     )
-    if carry:
-        out = F.col("members").alias("window_batches")
-    else:
-        out = F.col("members.batch_id").alias("window_ids")
-    return listed.select(key, "batch_id", "arrival_ts", out)
+    return tagged.join(bounds, "tag", "left").withColumn("after_batch_id", after).drop("tag", "bound")
 
 
 def trailing_bounds(batches: DataFrame, horizon_ms: int = DAY_MS) -> DataFrame:
-    """Per batch, where its trailing window starts; linear in time and space for any key.
+    """Add ``after_batch_id`` to a table of batches; linear in time and space for any key."""
+    return add_bounds(batches, settle(newest_per_tag(batches), "seen"), horizon_ms)
+
+
+def window_members(
+    chosen: DataFrame, batches: DataFrame, key: str, step: int = 1 << 10
+) -> DataFrame:
+    """The batches in the windows of some chosen ones (with bounds), one row per pair.
 
-    Adds ``after_batch_id``: the window of a batch is its key's batches ``b`` with
-    ``after_batch_id < b <= batch_id``. Tags never decrease, so the bound depends on the tag
-    alone: it is the newest batch whose tag is at least a horizon older, found once per distinct
-    tag by a running maximum.
+    For looking into single windows: the result is as large as the chosen windows are. Ids are
+    matched by stretches of ``step`` ids, so the join has a key besides the busy one.
     """
-    tagged = batches.withColumn("tag", F.unix_millis("arrival_ts"))
-    seen = settle(
-        tagged.groupBy(F.col("tag").alias("t")).agg(F.max("batch_id").alias("newest")), "tags"
+    low = F.expr(f"(after_batch_id + 1) div {int(step)}")
+    asked = chosen.select(
+        F.col(key), "batch_id", "after_batch_id",
+        F.explode(F.sequence(low, F.expr(f"batch_id div {int(step)}"))).alias("stretch"),
     )
-    untagged = seen.filter(F.col("t").isNull()).first()
-    floor = -1 if untagged is None else untagged["newest"]
-    seen = seen.filter(F.col("t").isNotNull())
-    asked = seen.select(
-        (F.col("t") - int(horizon_ms)).alias("t"), F.lit(None).cast("bigint").alias("newest")
+    members = batches.withColumnRenamed("batch_id", "member_id").withColumn(
+        "stretch", F.expr(f"member_id div {int(step)}")
     )
-    points = seen.unionByName(asked).groupBy("t").agg(F.max("newest").alias("newest"))
-    bounds = exclusive_prefix(points, "t", "newest", "max").select(
-        (F.col("t") + int(horizon_ms)).alias("tag"),
-        F.greatest("before", "newest").alias("bound"),
+    return (
+        asked.join(members, [key, "stretch"])
+        .filter((F.col("member_id") > F.col("after_batch_id")) & (F.col("member_id") <= F.col("batch_id")))
+        .drop("stretch", "after_batch_id")
     )
-    after = F.when(F.col("tag").isNull(), F.col("batch_id") - 1).otherwise(
-        F.coalesce("bound", F.lit(floor))
-    )
-    return tagged.join(bounds, "tag", "left").withColumn("after_batch_id", after).drop("tag", "bound")

@@ -60,7 +60,7 @@ def tumbling_avg(
 def tumbling_partials(
     readings: DataFrame, duration: str = "1 hour", keys: Sequence[str] = ("sensor_id",)
 ) -> DataFrame:
-    """Mergeable partials (sum, count, newest stamp) per key and fine window."""
+    """Mergeable partials (sum, count, newest stamp) per key and fine ``window``, table or stream."""
     return (
         readings.groupBy(F.window("timestamp", duration), *keys)
         .agg(
@@ -68,7 +68,16 @@ def tumbling_partials(
             F.count("temperature").alias("temp_count"),
             F.max(_stamp_of_valued_row()).alias("stamp"),
         )
-        .select(*keys, F.col("window.start").alias("window_start"), "temp_sum", "temp_count", "stamp")
+        .select(*keys, "window", "temp_sum", "temp_count", "stamp")
+    )
+
+
+def result_of_partials(partials: DataFrame, keys: Sequence[str] = ("sensor_id",)) -> DataFrame:
+    """Partials, one per key and window, as the result rows of ``tumbling_avg``."""
+    mean = F.coalesce(F.try_divide("temp_sum", "temp_count"), F.lit(float("nan")))
+    newest = F.coalesce("stamp", F.lit(NO_STAMP))
+    return window_result(
+        partials.select("window", *keys, mean.alias("avg_temp"), newest.alias("max_stamp")), keys
     )
 
 
@@ -77,11 +86,19 @@ def merge_partials(
 ) -> DataFrame:
     """Roll partials up into coarser windows; the result has the shape of ``tumbling_avg``.
 
-    ``duration`` must be a multiple of the partials' own window.
+    ``duration`` must be a multiple of the partials' own window; a fine window that does not lie
+    in one coarse window ends the job with an error. On a stream the fine windows close first and
+    their own event time decides when a coarse one does.
     """
+    coarse = F.window(F.window_time("window"), duration)
     total, count = F.sum("temp_sum"), F.sum("temp_count")
     mean = F.coalesce(F.try_divide(total, count), F.lit(float("nan")))
-    merged = partials.groupBy(F.window("window_start", duration), *keys).agg(
-        mean.alias("avg_temp"), F.coalesce(F.max("stamp"), F.lit(NO_STAMP)).alias("max_stamp")
+    merged = partials.withColumn("fine_start", F.col("window.start")).groupBy(coarse, *keys).agg(
+        mean.alias("avg_temp"),
+        F.coalesce(F.max("stamp"), F.lit(NO_STAMP)).alias("max_stamp"),
+        F.min("fine_start").alias("first_start"),
     )
-    return window_result(merged, keys)
+    astray = F.col("first_start") < F.col("window.start")
+    wrong = F.raise_error(F.lit(f"{duration} is not a multiple of the partials' window"))
+    checked = merged.withColumn("avg_temp", F.when(astray, wrong).otherwise(F.col("avg_temp")))
+    return window_result(checked.drop("first_start"), keys)

@@ -15,15 +15,15 @@ from gaugeworks.operators.parsing import parse_readings
 from gaugeworks.operators.scans import number_rows
 from gaugeworks.plans import jobs
 from gaugeworks.schemas import STAMP, layout
-from gaugeworks.session import scratch_path
+from gaugeworks.session import forget, scratch_path, settle
+from gaugeworks.sinks.lines import line_sink
 from gaugeworks.sources.event_lines import event_lines, header_text, line_text, load_events
 from gaugeworks.sources.lines import stream_lines
-from gaugeworks.streaming.runs import run_available, write_flush_line
-from gaugeworks.streaming.trailing import trailing_batches_stream
+from gaugeworks.streaming.runs import open_rollups, open_windows, run_available
+from gaugeworks.streaming.trailing import trailing_bounds_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FILE_EVENTS = 1_000_000  # events per line file at most, in the file-based queries
 TRAILING_SIZE = 20  # lines per batch in the trailing queries
 TRAILING_KEYS = 3
 
@@ -122,26 +122,23 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_line_files(spark: SparkSession, sf: str, kind: str) -> str:
-    """Write the lines of each run of events to one file, header first, in a fresh folder.
+    """Write the lines of each day of events to one file, header first, in a fresh folder.
 
-    There are three files at least, and more as the table grows.
+    Events come in order of time, so path order is event order.
     """
     events = load_events(spark, sf)
     folder = scratch_path(spark, f"{kind}-lines")
-    newest = events.agg(F.max("event_id")).first()[0]
-    per_file = min(FILE_EVENTS, newest // 3 + 1)
-    header = F.struct(F.lit(0).alias("place"), F.lit(header_text(kind)).alias("value"))
-    line = F.struct(F.lit(1).alias("place"), F.col("text").alias("value"))
-    first = F.col("event_id") % per_file == 0
-    entries = F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line)))
-    run = F.format_string("%012d", F.expr(f"event_id div {per_file}"))
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    lines = events.select(day, "event_id", line_text(kind).alias("value"))
+    headers = events.select(day).distinct().select(
+        "day", F.lit(None).cast("bigint").alias("event_id"), F.lit(header_text(kind)).alias("value")
+    )
     (
-        events.select("event_id", line_text(kind).alias("text"))
-        .select("event_id", run.alias("run"), entries.alias("entry"))
-        .repartition("run")
-        .sortWithinPartitions("run", "event_id", "entry.place")
-        .select("run", "entry.value")
-        .write.partitionBy("run")
+        lines.union(headers)
+        .repartition("day")
+        .sortWithinPartitions("day", F.asc_nulls_first("event_id"))
+        .select("day", "value")
+        .write.partitionBy("day")
         .text(folder)
     )
     return folder
@@ -156,14 +153,14 @@ def file_tumbling(spark: SparkSession, sf: str) -> DataFrame:
 def _land_in_time_order(spark: SparkSession, lines: DataFrame, folder: str):
     """Write lines in three steps of event time; yields after each step has landed."""
     low, high = lines.agg(F.min("ts"), F.max("ts")).first()
-    cuts = [low + (high - low) * step / 3 for step in (1, 2)]
+    cuts = [low + (high - low) * step / 3 for step in (1, 2)] if low else [None, None]
     step = F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1)
+    staged = settle(lines.select("value", step.otherwise(2).alias("step")), "staged")
     for number in range(3):
-        landed = lines.filter(step.otherwise(2) == number)
+        landed = staged.filter(F.col("step") == number)
         landed.select("value").write.mode("append").text(folder)
         yield number
-    write_flush_line(spark, folder)
-    yield 3
+    forget(staged)
 
 
 def stream_tumbling_1d(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +168,20 @@ def stream_tumbling_1d(spark: SparkSession, sf: str) -> DataFrame:
     for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
         results = jobs.windowed_temperature(stream_lines(spark, source), "1 day")
         run_available(results, sink, state)
-    return _rounded(spark.read.parquet(sink))
+    return _rounded(spark.read.parquet(sink).unionByName(open_windows(spark, state)))
+
+
+def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours, and days from the hours, in one stream."""
+    source, sink, state = (scratch_path(spark, label) for label in ("lines", "days", "state"))
+    for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+        readings = parse_readings(filters.drop_headers(stream_lines(spark, source)), "bme280")
+        hours = windows.tumbling_partials(
+            filters.with_event_time(filters.valid_readings(readings)), "1 hour"
+        )
+        run_available(windows.merge_partials(hours, "1 day"), sink, state)
+    days = spark.read.parquet(sink).unionByName(open_rollups(spark, state, "1 day"))
+    return _rounded(days)
 
 
 def stream_lines_job(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,10 +191,12 @@ def stream_lines_job(spark: SparkSession, sf: str) -> DataFrame:
             stream_lines(spark, source), sink, state, availableNow=True
         )
         query.awaitTermination()
+    closing = formatting.result_line_with_stamp(open_windows(spark, state))
+    written = spark.read.text(sink).union(closing.select("line"))
     parts = r"^sensor=(\d+) window=\[(\d+),(\d+)\) avg=([^,]+),(-?\d+)$"
     names = ("sensor_id", "window_start_ms", "window_end_ms", "avg_text", "max_stamp")
     types = ("int", "bigint", "bigint", "string", "bigint")
-    return spark.read.text(sink).select(
+    return written.select(
         *[
             F.regexp_extract("value", parts, group).cast(tp).alias(name)
             for group, (name, tp) in enumerate(zip(names, types), start=1)
@@ -275,29 +287,35 @@ def _keyed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return timed.withColumn("station", F.col("batch_id") % TRAILING_KEYS)
 
 
-def _id_list() -> Column:
-    return F.array_join(F.transform("window_ids", lambda i: i.cast("string")), ",")
+def trailing_day_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    bounds = trailing.trailing_bounds(_keyed_batches(spark, sf))
+    return bounds.select("station", "batch_id", "after_batch_id")
 
 
 def trailing_day_batches(spark: SparkSession, sf: str) -> DataFrame:
-    windows_ = trailing.trailing_batches(_keyed_batches(spark, sf), "station")
-    return windows_.select("station", "batch_id", _id_list().alias("window_ids"))
-
-
-def trailing_day_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of all batches written out as lists; the bounds say the same in linear space."""
     bounds = trailing.trailing_bounds(_keyed_batches(spark, sf))
-    return bounds.select("station", "batch_id", "after_batch_id")
+    bounds = settle(bounds.select("station", "batch_id", "after_batch_id"), "bounds")
+    members = trailing.window_members(bounds, bounds.drop("after_batch_id"), "station")
+    listed = members.groupBy("station", "batch_id").agg(
+        F.sort_array(F.collect_list("member_id")).alias("ids")
+    )
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return listed.select("station", "batch_id", ids.alias("window_ids"))
 
 
 def stream_trailing_day(spark: SparkSession, sf: str) -> DataFrame:
-    source, sink, state = (scratch_path(spark, label) for label in ("batches", "days", "state"))
-    batches = _keyed_batches(spark, sf).select("station", "batch_id", "arrival_ts")
+    labels = ("batches", "days", "tags", "state")
+    source, sink, tags, state = (scratch_path(spark, label) for label in labels)
+    batches = settle(
+        _keyed_batches(spark, sf).select("station", "batch_id", "arrival_ts"), "keyed"
+    )
     half = batches.agg(F.max("batch_id")).first()[0] // 2
     for landed in (F.col("batch_id") <= half, F.col("batch_id") > half):
         batches.filter(landed).write.mode("append").parquet(source)
         stream = spark.readStream.schema(batches.schema).parquet(source)
-        run_available(trailing_batches_stream(stream, "station"), sink, state)
-    return spark.read.parquet(sink).select("station", "batch_id", _id_list().alias("window_ids"))
+        trailing_bounds_stream(stream, sink, tags, state, availableNow=True).awaitTermination()
+    return spark.read.parquet(sink).select("station", "batch_id", "after_batch_id")
 
 
 # --- formats -------------------------------------------------------------------------------
@@ -324,8 +342,8 @@ def _latencies(spark: SparkSession, sf: str) -> DataFrame:
     results = formatting.result_line(jobs.windowed_temperature(_lines(spark, sf, "bme280")))
     delay = F.expr("window_start_ms div 1000 % 997") + F.col("sensor_id") % 89
     arrived = latency.compute_latency(results, ingestion_ms=F.col("max_stamp") + delay)
-    # Sensor ids stay below 2**20; minutes since the epoch take the bits above.
-    order = F.expr("window_start_ms div 60000") * (1 << 20) + F.col("sensor_id")
+    # Sensor ids are 32-bit numbers; minutes since the epoch take the bits above.
+    order = F.expr("window_start_ms div 60000") * (1 << 32) + F.col("sensor_id")
     return arrived.withColumn("ord", order)
 
 
@@ -370,10 +388,26 @@ def latency_report(spark: SparkSession, sf: str) -> DataFrame:
     """The report job over log files: the series with the rolling mean where there is one."""
     folder = scratch_path(spark, "latency-log")
     _log(spark, sf).orderBy("ord").select("value").write.text(folder)
-    report = jobs.latency_report(spark, folder)
-    rolling = report["rolling"].select("n", F.round("rolling_ms", 6).alias("rolling_ms"))
-    series = report["series"].select("n", "latency_ms", "rel_s")
-    return series.join(rolling, "n", "left")
+    series = jobs.latency_report(spark, folder)["series"]
+    return series.select("n", "latency_ms", "rel_s", F.round("rolling_ms", 6).alias("rolling_ms"))
+
+
+def latency_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """From the result files of the window job to the latency of each result.
+
+    The time of arrival is that of the run, so of the latency only its sign is given.
+    """
+    folder = scratch_path(spark, "results")
+    results = jobs.windowed_temperature(_lines(spark, sf, "bme280"))
+    line_sink(formatting.result_line_with_stamp(results), folder)
+    parsed = latency.parse_latency(jobs.latency_log(spark, folder))
+    part = lambda group: F.regexp_extract("result", r"^sensor=(\d+) window=\[(\d+),", group)
+    return parsed.select(
+        part(1).cast("int").alias("sensor_id"),
+        part(2).cast("bigint").alias("window_start_ms"),
+        "event_ts_ms",
+        (F.col("latency_ms") >= 0).alias("arrived_after"),
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -396,6 +430,7 @@ QUERIES: dict[str, Query] = {
     "q_file_tumbling_1m": file_tumbling,
     "q_stream_tumbling_1d": stream_tumbling_1d,
     "q_stream_lines_job": stream_lines_job,
+    "q_stream_rollup_hour_to_day": stream_rollup,
     "q_count_batches": count_batches,
     "q_file_batches": file_batches,
     "q_batch_event_time": batch_event_time,
@@ -416,4 +451,5 @@ QUERIES: dict[str, Query] = {
     "q_relative_time": relative_time,
     "q_rolling_latency": rolling_latency,
     "q_latency_report": latency_report,
+    "q_latency_loop": latency_loop,
 }

@@ -197,7 +197,7 @@ SELECT event_id, concat_ws('{separator}', {", ".join(fields)}) AS line FROM ev""
 
 LATENCIES = f"""{results(60_000)},
 lat AS (
-  SELECT window_start_ms // 60000 * 1048576 + sensor_id AS ord,
+  SELECT window_start_ms // 60000 * 4294967296 + sensor_id AS ord,
     window_start_ms // 1000 % 997 + sensor_id % 89 AS latency_ms,
     window_start_ms || ',' || window_end_ms AS result, max_stamp AS event_ts_ms,
     max_stamp + window_start_ms // 1000 % 997 + sensor_id % 89 AS ingestion_ts_ms
@@ -235,6 +235,7 @@ SELECT sensor_id, window_start_ms, {PLAIN_LINE} AS plain_line,
   {PLAIN_LINE} || ',' || max_stamp AS line FROM res""",
     "q_file_tumbling_1m": tumbling(60_000),
     "q_stream_tumbling_1d": tumbling(DAY_MS),
+    "q_stream_rollup_hour_to_day": tumbling(DAY_MS),
     "q_stream_lines_job": f"""WITH {results(60_000)}
 SELECT sensor_id, window_start_ms, window_end_ms, {AVG_TEXT} AS avg_text, max_stamp FROM res""",
     "q_count_batches": f"""WITH {batches("pms7003", 100)}
@@ -261,7 +262,7 @@ SELECT batch_id, is_last, ev.sensor_id, ev.main AS p1, ev.second_value AS p2,
 FROM numbered JOIN ev ON ev.event_id = numbered.event_id""",
     "q_trailing_day_batches": TRAILING,
     "q_trailing_day_bounds": BOUNDS,
-    "q_stream_trailing_day": TRAILING,
+    "q_stream_trailing_day": BOUNDS,
     "q_format_base": formatted("base", ";", "null", stamp=True),
     "q_format_bmp280": formatted("bmp280", ";", "null", stamp=False),
     "q_format_bme280": formatted("bme280", ",", "", stamp=False),
@@ -275,6 +276,8 @@ SELECT count(*) AS tuples, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms,
     "q_relative_time": f"WITH {LATENCIES} SELECT ord, rel_s FROM log",
     "q_rolling_latency": f"""WITH {LATENCIES}
 SELECT n, ord, round(mean_50, 6) AS rolling_ms FROM log WHERE n >= 49""",
+    "q_latency_loop": f"""WITH {results(60_000)}
+SELECT sensor_id, window_start_ms, max_stamp AS event_ts_ms, TRUE AS arrived_after FROM res""",
     "q_latency_report": f"""WITH {LATENCIES}
 SELECT n, latency_ms, rel_s, CASE WHEN n >= 49 THEN round(mean_50, 6) END AS rolling_ms FROM log""",
 }

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from gaugeworks.operators.scans import exclusive_prefix
+from gaugeworks.session import settle
 from gaugeworks.sources.lines import read_lines
 
-# One offset row per file split is about 300 bytes in memory; beyond this many the join shuffles.
-BROADCAST_SPLITS = 500_000
-
-
-def _split_bound(lines: DataFrame) -> int:
-    """Upper bound of the number of file splits, from scan planning alone (no job).
-
-    A scan partition holds at most one full-size split besides the ends of files.
-    """
-    return lines.rdd.getNumPartitions() + len(lines.inputFiles())
+# An offset row is some 64 bytes in memory; an offset table up to this size is broadcast, which is
+# enough for hundreds of TB in splits of the usual 128 MB.
+OFFSET_BYTES = 64
+BROADCAST_BYTES = 512 << 20
+SPLITS_PER_TASK = 10_000
+PARTITION_BITS = 33  # of monotonically_increasing_id
 
 
 def number_file_lines(
@@ -25,37 +23,62 @@ def number_file_lines(
 
     ``skip_first`` leaves out the first line of every file, whatever it says. A first pass
     counts the lines of each file split; the second adds the split's offset to the line's
-    position in the split. Both passes read the same splits, so the counts fit.
+    position in the split. Both passes read the same splits, so the counts fit. A split is
+    known by its scan partition and a 64-bit hash of its place, which the first pass checks.
     """
     lines = read_lines(spark, path)
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
     located = lines.select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(*place).alias("split"),
+    ).withColumn("part", F.shiftright("row", PARTITION_BITS))
+    counted = (
+        lines.select(
+            place[0].alias("file"),
+            place[1].alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            F.xxhash64(*place).alias("split"),
+        )
+        .groupBy(F.shiftright("row", PARTITION_BITS).alias("part"), "split", "file", "block")
+        .agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"))
     )
+    splits = settle(counted, "splits")
+    count = splits.count()
+    if not splits.groupBy("part", "split").count().filter("count > 1").isEmpty():
+        raise RuntimeError("two file splits of one task have the same name")
+
+    # Splits in path order: ranges of them, each summed in one task, and a fold over the ranges.
     skipped = F.when(F.col("block") == 0, 1).otherwise(0) if skip_first else F.lit(0)
-    splits = located.groupBy("file", "block").agg(
-        (F.count(F.lit(1)) - skipped).alias("size"), F.min("row").alias("first_row")
+    ranges = settle(
+        splits.withColumn("size", F.col("lines") - skipped)
+        .withColumn("first_kept", F.col("first_row") + skipped)
+        .repartitionByRange(max(1, -(-count // SPLITS_PER_TASK)), "file", "block")
+        .withColumn("stretch", F.spark_partition_id().cast("bigint")),
+        "split-ranges",
+    )
+    sums = ranges.groupBy("stretch").agg(F.sum("size").alias("size"))
+    before = exclusive_prefix(sums, "stretch", "size").select("stretch", "before", "overall")
+    earlier = (
+        Window.partitionBy("stretch")
+        .orderBy("file", "block")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per split, not per line: this is as small as the scan's own list of splits.
-    in_order = Window.orderBy("file", "block")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        splits.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(0))))
+        ranges.withColumn("inner", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        .join(before, "stretch")
         .select(
-            "file",
-            "block",
-            (F.col("first_row") + skipped).alias("first_kept"),
-            (F.col("start") - F.col("first_row") - skipped).alias("shift"),
-            "total",
+            "part",
+            "split",
+            "first_kept",
+            (F.col("before") + F.col("inner") - F.col("first_kept")).alias("shift"),
+            F.col("overall").alias("total"),
         )
     )
-    if _split_bound(lines) <= BROADCAST_SPLITS:
+    if count * OFFSET_BYTES <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     return (
-        located.join(offsets, ["file", "block"])
+        located.join(offsets, ["part", "split"])
         .filter(F.col("row") >= F.col("first_kept"))
         .select("value", (F.col("row") + F.col("shift")).alias("n"), "total")
     )

@@ -1,12 +1,16 @@
-"""Running streaming queries to the end of what has arrived, and flushing open windows."""
+"""Running streaming queries to the end of what has arrived, and reading windows still open."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# A reading far beyond any real one: it moves the watermark past every open window.
-FLUSH_LINE = "0;BME280;0;0.0;0.0;9999-01-01T00:00:00;0.0;0.0;0.0;0.0;0.0,0"
+from gaugeworks.operators.windows import merge_partials, result_of_partials
+
+_PARTIAL = "temp_sum: double, temp_count: bigint, stamp: bigint"
+_MERGED = f"first_start: timestamp, {_PARTIAL}"
 
 
 def run_available(
@@ -28,10 +32,30 @@ def run_available(
     return query
 
 
-def write_flush_line(spark: SparkSession, folder: str) -> None:
-    """Mark the end of the input in a folder of line files.
+def _state(
+    spark: SparkSession, checkpoint: str, operator: int, values: str, keys: Sequence[str]
+) -> DataFrame:
+    state = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+    named = state.select("key", F.col("value").cast(f"struct<{values}>").alias("value"))
+    return named.select("key.window", *(f"key.{k}" for k in keys), "value.*")
+
 
-    A stream in append mode keeps the windows that the watermark has not passed. After this
-    line all real windows are written; the line's own window stays open for ever.
+def open_windows(
+    spark: SparkSession, checkpoint: str, keys: Sequence[str] = ("sensor_id",)
+) -> DataFrame:
+    """Results so far of the windows a stopped ``tumbling_avg`` stream has not closed yet.
+
+    A stream in append mode holds the windows that its watermark has not passed. At the end of
+    a bounded input they complete what it wrote. Nothing is added to the input and the watermark
+    stays where it is, so the stream can go on with later readings.
     """
-    spark.createDataFrame([(FLUSH_LINE,)], "value string").write.mode("append").text(folder)
+    return result_of_partials(_state(spark, checkpoint, 0, _PARTIAL, keys), keys)
+
+
+def open_rollups(
+    spark: SparkSession, checkpoint: str, duration: str, keys: Sequence[str] = ("sensor_id",)
+) -> DataFrame:
+    """The same for a stream of ``merge_partials``: open coarse windows, with open fine ones in them."""
+    coarse = _state(spark, checkpoint, 0, _MERGED, keys).drop("first_start")
+    fine = _state(spark, checkpoint, 1, _PARTIAL, keys)
+    return merge_partials(coarse.unionByName(fine), duration, keys)

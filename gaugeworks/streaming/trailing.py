@@ -1,73 +1,63 @@
-"""Trailing windows of batches as a keyed stateful stream operator."""
+"""Trailing windows of batches on a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.operators.trailing import DAY_MS
+from gaugeworks.operators.trailing import DAY_MS, add_bounds, newest_per_tag
+from gaugeworks.session import settle
 
-SLICE_ROWS = 1000
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
-def trailing_batches_stream(
-    batches: DataFrame, key: str, horizon_ms: int = DAY_MS, arrival_col: str | None = "arrival_ts"
-) -> DataFrame:
-    """Streaming form of ``trailing_batches``: per arriving batch, the ids still in the horizon.
 
-    The state of a key is the list of (id, tag) of its batches within the horizon, no contents.
-    With ``arrival_col`` the tag is the watermark the row carries, which makes the result
-    independent of how rows fall into micro-batches. With ``None`` the tag is the engine's
-    watermark during the micro-batch; the stream then needs ``withWatermark`` and one batch per
-    trigger to give the same tags.
-    """
-    carried = arrival_col is not None
-    tag = F.unix_millis(arrival_col) if carried else F.lit(None).cast("bigint")
-    # With an engine watermark the event-time column must reach the stateful operator.
-    extra = [] if carried else ["event_ts"]
-    arriving = batches.select(key, "batch_id", tag.alias("tag"), *extra)
-    slice_rows = SLICE_ROWS
-    key_type = batches.schema[key].dataType.simpleString()
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def keep_window(group, chunks, state):
-        import pandas as pd
 
-        ids, tags = (list(part) for part in state.get) if state.exists else ([], [])
-        now = None
-        if not carried:
-            now = state.getCurrentWatermarkMs() or None  # 0 means no watermark yet
-        # Ids and tags only; the lists go out a slice at a time and are never all in memory.
-        rows = pd.concat(list(chunks)).sort_values("batch_id")
-        for start in range(0, len(rows), slice_rows):
-            part = rows.iloc[start : start + slice_rows]
-            out_tags, windows = [], []
-            for batch_id, row_tag in zip(part["batch_id"], part["tag"]):
-                current = now if not carried else (None if pd.isna(row_tag) else int(row_tag))
-                live = []
-                if current is not None:
-                    live = [
-                        (i, t)
-                        for i, t in zip(ids, tags)
-                        if t is not None and t > current - horizon_ms
-                    ]
-                ids = [i for i, _ in live] + [int(batch_id)]
-                tags = [t for _, t in live] + [current]
-                out_tags.append(current)
-                windows.append(ids)
-            yield pd.DataFrame(
-                {
-                    key: [group[0]] * len(part),
-                    "batch_id": list(part["batch_id"]),
-                    "tag": pd.array(out_tags, dtype="Int64"),
-                    "window_ids": windows,
-                }
-            )
-        state.update((ids, tags))
+def trailing_bounds_stream(
+    batches: DataFrame,
+    path: str,
+    state: str,
+    checkpoint: str,
+    horizon_ms: int = DAY_MS,
+    **trigger,
+) -> StreamingQuery:
+    """Write ``trailing_bounds`` of a stream of batches to ``path``, one folder per micro-batch.
 
-    return arriving.groupBy(key).applyInPandasWithState(
-        keep_window,
-        outputStructType=f"{key} {key_type}, batch_id bigint, tag bigint, window_ids array<bigint>",
-        stateStructType="ids array<bigint>, tags array<bigint>",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    A micro-batch is handled as a table. Between micro-batches only the tags still in the
+    horizon are kept in ``state``, with the newest older batch as floor; they are small, belong to no
+    key and go when they are a horizon old. Every step overwrites its own folders, so one
+    that runs again after a failure leaves the same files. Batches arrive in id order from
+    micro-batch to micro-batch, in any order within one.
+    """
+
+    def step(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        seen = newest_per_tag(rows)
+        if number and _exists(spark, f"{state}/{number - 1}"):
+            earlier = spark.read.parquet(f"{state}/{number - 1}")
+            seen = (
+                seen.unionByName(earlier)
+                .groupBy("t")
+                .agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+            )
+        seen = settle(seen, "seen")
+        bounds = add_bounds(rows, seen, horizon_ms)
+        bounds.write.mode("overwrite").parquet(f"{path}/step={number}")
+        last = seen.agg(F.max("t")).first()[0]
+        edge = None if last is None else last - int(horizon_ms)
+        # What no later window can reach counts only by its newest batch: one row, at its tag.
+        kept = seen.groupBy(
+            F.when(F.col("t") <= F.lit(edge), F.lit(edge)).otherwise(F.col("t")).alias("t")
+        ).agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{state}/{number}")
+        if number > 1:
+            _delete(spark, f"{state}/{number - 2}")
+
+    writer = batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -58,9 +58,10 @@ def test_event_time_is_a_running_maximum(spark, tmp_path):
     assert [r.event_ts for r in rows] == [NOW + timedelta(seconds=s) for s in (5, 5, 9, 9)]
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_lines_are_numbered_over_files_and_splits(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(numbered_source, "BROADCAST_SPLITS", limit)
+@pytest.mark.parametrize("limit,per_task", [(1 << 20, 10_000), (0, 10_000), (1 << 20, 3)])
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path, monkeypatch, limit, per_task):
+    monkeypatch.setattr(numbered_source, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(numbered_source, "SPLITS_PER_TASK", per_task)
     expected = []
     for number, count in enumerate([3000, 1, 0, 777]):
         lines = [f"{number}:{i}" + "x" * (i % 40) for i in range(count)]
@@ -102,6 +103,24 @@ def test_numbering_and_prefixes_on_sparse_keys(spark, monkeypatch, bits):
         assert {r.overall for r in found} == {so_far}
 
 
+@pytest.mark.parametrize("keys,message", [([1, 2, None], "has no k"), ([1, 1, 2], "two rows to number have k 1")])
+def test_rows_need_an_order(spark, keys, message):
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    with pytest.raises(Exception, match=message):
+        number_rows(rows, "k").collect()
+
+
+def test_file_lines_are_shuffled_once(spark, tmp_path):
+    """The only exchange of lines is the one by batch id."""
+    write(tmp_path / "a.csv", ["h"] + [timed(s) for s in range(50)])
+    batches = read_batches(spark, str(tmp_path), 10)
+    plan = batches._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "BroadcastHashJoin [part" in plan
+    below_join = plan[plan.index("BroadcastHashJoin [part") :]
+    above_scan = below_join[: below_join.index("FileScan text")]
+    assert "Exchange hashpartitioning" not in above_scan.split("BroadcastExchange")[0]
+
+
 def batch_frame(spark, *batches):
     return spark.createDataFrame(
         [(i, i == len(batches) - 1, b) for i, b in enumerate(batches)],

@@ -10,7 +10,7 @@ from gaugeworks.operators.latency import (
     relative_time,
     rolling_avg,
 )
-from gaugeworks.plans.jobs import latency_report
+from gaugeworks.plans.jobs import latency_log, latency_report
 
 SAMPLE = "237,sensor=141 window=[1577836800000,1577836860000) avg=4.280,1780849502772,1780849503009"
 
@@ -72,5 +72,21 @@ def test_report_over_files(spark, tmp_path):
     assert report["summary"].first().tuples == 120
     rows = report["series"].orderBy("n").collect()
     assert [(r.n, r.rel_s) for r in rows] == [(i, i * 7 / 1000) for i in range(120)]
-    rolling = {r.n: r.rolling_ms for r in report["rolling"].collect()}
-    assert rolling == {i: sum(j % 13 for j in range(i - 49, i + 1)) / 50 for i in range(49, 120)}
+    rolling = {r.n: r.rolling_ms for r in rows}
+    assert rolling == {
+        i: sum(j % 13 for j in range(i - 49, i + 1)) / 50 if i >= 49 else None for i in range(120)
+    }
+
+
+def test_latency_counts_the_time_until_the_file_is_there(spark, tmp_path):
+    """A result that waits for its micro-batch shows the wait."""
+    import os
+
+    path = tmp_path / "results" / "part-0.txt"
+    path.parent.mkdir()
+    path.write_text("sensor=1 window=[0,60000) avg=1.500,1700000000000\nno result\n")
+    os.utime(path, (1_700_000_007, 1_700_000_007))
+    rows = parse_latency(latency_log(spark, str(path.parent))).collect()
+    assert [(r.latency_ms, r.result, r.event_ts_ms) for r in rows] == [
+        (7000, "sensor=1 window=[0,60000) avg=1.500", 1_700_000_000_000)
+    ]

@@ -3,10 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.trailing import DAY_MS, trailing_batches, trailing_bounds
-from gaugeworks.streaming import trailing as stream_trailing
-from gaugeworks.streaming.runs import run_available
-from gaugeworks.streaming.trailing import trailing_batches_stream
+from gaugeworks.operators.trailing import DAY_MS, trailing_bounds, window_members
+from gaugeworks.streaming.trailing import trailing_bounds_stream
 
 
 def replay(rows, horizon=DAY_MS):
@@ -28,8 +26,11 @@ def frame(spark, rows):
 
 
 def lists(spark, rows, horizon=DAY_MS):
-    got = trailing_batches(frame(spark, rows), "k", horizon).collect()
-    return {(r.k, r.batch_id): r.window_ids for r in got}
+    batches = frame(spark, rows)
+    got = {(k, i): [] for k, i, _ in rows}
+    for r in window_members(trailing_bounds(batches, horizon), batches, "k", 16).collect():
+        got[r.k, r.batch_id].append(r.member_id)
+    return {place: sorted(ids) for place, ids in got.items()}
 
 
 KNOWN = [None, 0, 3_600_000, 86_400_000, 86_400_000, 90_000_001]
@@ -73,36 +74,28 @@ def test_lists_and_bounds_equal_a_replay(spark, seed):
         assert members == wanted[r.k, r.batch_id]
 
 
-def test_carried_columns(spark):
-    data = frame(spark, [(1, 0, 5), (1, 1, 6)]).withColumn("measurements", F.array(F.lit("a")))
-    got = trailing_batches(data, "k", carry=["measurements"]).orderBy("batch_id").collect()
-    assert [[(m.batch_id, m.measurements) for m in r.window_batches] for r in got] == [
-        [(0, ["a"])], [(0, ["a"]), (1, ["a"])],
-    ]
+def test_times_must_not_fall(spark):
+    with pytest.raises(Exception, match="arrival times fall"):
+        trailing_bounds(frame(spark, [(1, 0, 50), (1, 1, 10), (1, 2, 60)]), 5).collect()
 
 
-def test_stream_equals_replay_over_restarts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream_trailing, "SLICE_ROWS", 7)
+def test_stream_equals_replay_over_restarts(spark, tmp_path):
     rows = sample(9, 120, 3, 40)
-    source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
-    for part in (rows[:50], rows[50:51], rows[51:]):
+    source, sink, tags, state = (str(tmp_path / name) for name in ("in", "out", "tags", "state"))
+    for part in (rows[:1], rows[1:50], rows[50:51], rows[51:]):
         frame(spark, part).repartition(3).write.mode("append").parquet(source)
         stream = spark.readStream.schema(frame(spark, part).schema).parquet(source)
-        run_available(trailing_batches_stream(stream, "k", 250), sink, state)
-    got = {(r.k, r.batch_id): r.window_ids for r in spark.read.parquet(sink).collect()}
-    assert got == replay(rows, 250)
-
-
-def test_stream_with_engine_watermark(spark, tmp_path):
-    """One batch per trigger: the engine's watermark on arrival is the tag."""
-    source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
-    times = [tag for tag in KNOWN if tag is not None] + [KNOWN[-1] + 1]
-    for batch_id, event in enumerate(times):
-        one = spark.createDataFrame([(1, batch_id, event + DAY_MS)], "k int, batch_id bigint, ms bigint")
-        one = one.select("k", "batch_id", F.timestamp_millis("ms").alias("event_ts")).coalesce(1)
-        one.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(one.schema).parquet(source)
-        stream = stream.withWatermark("event_ts", "0 seconds")
-        run_available(trailing_batches_stream(stream, "k", arrival_col=None), sink, state)
-    got = sorted((r.batch_id, r.window_ids) for r in spark.read.parquet(sink).collect())
-    assert [ids for _, ids in got] == [[0], [1], [1, 2], [2, 3], [2, 3, 4], [3, 4, 5]]
+        trailing_bounds_stream(stream, sink, tags, state, 250, availableNow=True).awaitTermination()
+    wanted = replay(rows, 250)
+    got = spark.read.parquet(sink).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        members = [i for k, i, _ in rows if k == r.k and r.after_batch_id < i <= r.batch_id]
+        assert members == wanted[r.k, r.batch_id]
+    # Only what a later window can reach is kept, and only of the last two steps.
+    kept = sorted(int(p.name) for p in (tmp_path / "tags").iterdir())
+    assert len(kept) == 2
+    last = spark.read.parquet(f"{tags}/{kept[-1]}")
+    newest = max(t for *_, t in rows if t is not None)
+    live = {t for *_, t in rows if t is not None and t > newest - 250}
+    assert {r.t for r in last.collect()} - {None} <= live | {newest - 250}
