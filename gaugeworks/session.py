@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +51,29 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+RUN_FOLDER = "spark.gaugeworks.runFolder"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the current run's folder in it."""
+    folder = spark.conf.get(RUN_FOLDER, None) or shared_folder(spark)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Collect all tables that steps write meanwhile in one folder and remove it at the end.
+
+    Results that read such tables must be written or counted inside.
+    """
+    path = scratch_path(spark, name)
+    before = spark.conf.get(RUN_FOLDER, None)
+    spark.conf.set(RUN_FOLDER, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(RUN_FOLDER, before) if before else spark.conf.unset(RUN_FOLDER)
+        _delete(spark, path)
 
 
 # Shuffle files go when their query ends, not when the driver happens to collect garbage.
@@ -81,6 +103,9 @@ def settle(frame: DataFrame, label: str) -> DataFrame:
 def forget(*frames: DataFrame) -> None:
     """Delete tables that ``settle`` returned, once nothing reads them any more."""
     for frame in frames:
-        spark = frame.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(frame.settled_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(frame.sparkSession, frame.settled_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
