@@ -36,6 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates.
 
+    Near duplicates share at least 0.8 of their shingles of five words, or are linked by such.
     Documents without words are in no group and stay. Rows of equal id are one document, of
     which one row stays unless their texts differ.
     """

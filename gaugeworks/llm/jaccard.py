@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import math
 import struct
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,41 @@ from gaugeworks.llm.graph import components
 from gaugeworks.llm.hashing import Words, mix, powers, slices, window_names
 from gaugeworks.session import forget, settle
 
-WIDTH = 3
-# Similarity of at least NUMERATOR / DENOMINATOR.
-NUMERATOR, DENOMINATOR = 9, 10
+WIDTH, SIMILARITY = 5, Fraction(4, 5)
 # Shingles in more than this share of a batch's documents are candidates for the end of the order.
 FREQUENT_SHARE = 0.004
 # The list is an ordering hint of fixed size, not a filter: results do not depend on it.
 MAX_FREQUENT = 1 << 16
 
+@dataclass(frozen=True)
+class Likeness:
+    """What a Jaccard similarity of at least ``least`` means for sizes, prefixes and overlaps."""
+
+    least: Fraction
+
+    def prefix(self, n: int) -> int:
+        """Shingles of a set of n of which a similar set must hold one."""
+        return n + 1 - -(-self.least.numerator * n // self.least.denominator)
+
+    def beyond(self, n: Column) -> Column:
+        """Shingles of a set that are not in its prefix."""
+        return F.ceil(self.least.numerator * n / self.least.denominator) - 1
+
+    def band(self, n: Column) -> Column:
+        """Sizes in one band may be similar; partners are at most one band apart."""
+        return F.floor(F.log(n.cast("double")) / -math.log(self.least)).cast("int")
+
+    def sizes_fit(self, n_a: Column, n_b: Column) -> Column:
+        return self.least.numerator * F.greatest(n_a, n_b) <= self.least.denominator * F.least(
+            n_a, n_b
+        )
+
+    def reached(self, overlap: Column | int, sizes: Column | int) -> Column | bool:
+        """An overlap is enough for two sets whose sizes add up to ``sizes``."""
+        both = self.least.numerator + self.least.denominator
+        return both * overlap >= self.least.numerator * sizes
+
+
 _LAST = np.uint64(1 << 63)
 _SIGN = np.uint64(1 << 63)
 
@@ -110,7 +139,9 @@ def frequent_shingles(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     return np.sort(np.array([r["name"] for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-def shingled(texts: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
+def shingled(
+    texts: DataFrame, frequent: np.ndarray, likeness: Likeness, width: int = WIDTH
+) -> DataFrame:
     """Per row: doc_id, n, node, group (of prefix and size), last and the prefix itself."""
 
     def describe(batches):
@@ -120,7 +151,7 @@ def shingled(texts: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Data
                 n = len(names)
                 sizes.append(n)
                 nodes.append(_node(names))
-                prefix = _ordered(names, frequent)[: n + 1 - -(-NUMERATOR * n // DENOMINATOR)]
+                prefix = _ordered(names, frequent)[: likeness.prefix(n)]
                 prefix = _signed(prefix) if n else np.zeros(0, np.int64)
                 prefixes.append(prefix)
                 groups.append(_node(np.append(prefix.view(np.uint64), np.uint64(n))))
@@ -144,20 +175,9 @@ def shingled(texts: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Data
     )
 
 
-def _band(n: Column) -> Column:
-    """Sizes in one band differ by less than the similarity allows; partners are at most one apart."""
-    return F.floor(F.log(n.cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("int")
-
-
-def _may_link(n_a: Column, n_b: Column) -> Column:
-    return NUMERATOR * F.greatest(n_a, n_b) <= DENOMINATOR * F.least(n_a, n_b)
-
-
-def _prefix_size(n: Column) -> Column:
-    return n + 1 - F.ceil(NUMERATOR * n / DENOMINATOR)
-
-
-def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _verified(
+    texts: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: Likeness, width: int
+) -> DataFrame:
     """The pairs (a, b) of node numbers whose whole sets are similar enough."""
     pairs = settle(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
@@ -195,7 +215,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int)
                 x = np.frombuffer(one.as_buffer(), np.uint64)
                 y = np.frombuffer(two.as_buffer(), np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+                keep.append(likeness.reached(both, len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("nid").alias("a"), F.col("names").alias("names_a"))
@@ -206,22 +226,21 @@ def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int)
     return links
 
 
-def _overlap_possible(common: Column, beyond: Column, sum_n: Column) -> Column:
-    """An overlap of at most ``common + beyond`` can still reach the similarity."""
-    return (DENOMINATOR + NUMERATOR) * (common + beyond) >= NUMERATOR * sum_n
-
-
-def _beyond(n: Column) -> Column:
-    """Shingles of a set that are not in its prefix."""
-    return n - _prefix_size(n)
-
-
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    similarity: Fraction = SIMILARITY,
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least id reachable over links, of every row."""
+    """doc_id, n_shingles and component_id, the least id reachable over links, of every row.
+
+    Two documents link if the Jaccard similarity of their shingles of ``width`` words is at
+    least ``similarity``, a fraction between 0 and 1, both excluded.
+    """
+    likeness = Likeness(similarity)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = settle(shingled(texts, frequent_shingles(texts, width), width), "shingled")
+    rows = settle(shingled(texts, frequent_shingles(texts, width), likeness, width), "shingled")
 
     # Nodes, one per distinct set, numbered, with a row to fetch the text from.
     nodes = settle(
@@ -256,7 +275,7 @@ def near_duplicates(
         tokens.select("token", "gid", "pos").join(shared.select("token"), "token"), "buckets"
     )
     forget(tokens)
-    sizes = heads.select("gid", "n", _band(F.col("n")).alias("band"))
+    sizes = heads.select("gid", "n", likeness.band(F.col("n")).alias("band"))
     placed = settle(buckets.join(sizes, "gid"), "placed")
 
     # First comparison. Members meet the head of their group; heads meet the set that holds one
@@ -273,13 +292,13 @@ def near_duplicates(
     )
     likely = (
         placed.join(reached, ["token", "band"])
-        .filter((F.col("a") != F.col("gid")) & _may_link(F.col("n_a"), F.col("n")))
+        .filter((F.col("a") != F.col("gid")) & likeness.sizes_fit(F.col("n_a"), F.col("n")))
         .groupBy("a", F.col("gid").alias("b"), "n_a", "n")
         .agg(F.count(F.lit(1)).alias("common"))
         .filter(
-            _overlap_possible(
-                F.col("common"),
-                F.greatest(_beyond(F.col("n_a")), _beyond(F.col("n"))),
+            likeness.reached(
+                F.col("common")
+                + F.greatest(likeness.beyond(F.col("n_a")), likeness.beyond(F.col("n"))),
                 F.col("n_a") + F.col("n"),
             )
         )
@@ -288,7 +307,7 @@ def near_duplicates(
         .select(F.col("best.a").alias("a"), "b")
     )
     star = within.filter(F.col("a") != F.col("b")).union(likely).distinct()
-    links = _verified(texts, nodes, star, width)
+    links = _verified(texts, nodes, star, likeness, width)
     found = components(links).withColumnRenamed("node", "nid")
     rooted = settle(
         nodes.join(found, "nid", "left").select(
@@ -304,11 +323,10 @@ def near_duplicates(
     sides = (
         rooted.join(heads.select("grp", "gid"), "grp")
         .join(early, "gid")
-        .select("gid", "nid", "n", "last", "root", "early", _band(F.col("n")).alias("band"))
+        .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band"))
     )
     mixed = buckets.select("token", "gid").join(sides, "gid")
-    total = NUMERATOR + DENOMINATOR
-    short = mixed.filter(total * (F.col("n") - F.col("early")) >= 2 * NUMERATOR * F.col("n"))
+    short = mixed.filter(likeness.reached(F.col("n") - F.col("early"), 2 * F.col("n")))
     smaller = short.select(
         "token",
         *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "band")),
@@ -326,34 +344,34 @@ def near_duplicates(
         .join(kinds, ["token", "band"])
         .filter(F.col("root_a") != F.col("root_b"))
     )
-    needed = NUMERATOR * (F.col("n_a") + F.col("n_b"))
+    sum_n = F.col("n_a") + F.col("n_b")
     first_ends = F.col("last_a") <= F.col("last_b")
     common = (
         meetings.join(smaller, ["token", "root_a", "band_a"])
         .join(larger, ["token", "root_b", "band"])
         .filter(
-            _may_link(F.col("n_a"), F.col("n_b"))
+            likeness.sizes_fit(F.col("n_a"), F.col("n_b"))
             & (
                 (F.col("n_a") < F.col("n_b"))
                 | ((F.col("n_a") == F.col("n_b")) & (F.col("nid_a") < F.col("nid_b")))
             )
-            & (total * (F.col("n_a") - F.col("early_a")) >= needed)
-            & (total * (F.col("n_b") - F.col("early_b")) >= needed)
+            & likeness.reached(F.col("n_a") - F.col("early_a"), sum_n)
+            & likeness.reached(F.col("n_b") - F.col("early_b"), sum_n)
         )
         .select(
             F.col("nid_a").alias("a"),
             F.col("nid_b").alias("b"),
-            (F.col("n_a") + F.col("n_b")).alias("sum_n"),
-            F.when(first_ends, _beyond(F.col("n_a"))).otherwise(_beyond(F.col("n_b"))).alias("beyond"),
+            sum_n.alias("sum_n"),
+            F.when(first_ends, likeness.beyond(F.col("n_a"))).otherwise(likeness.beyond(F.col("n_b"))).alias("beyond"),
         )
         .groupBy("a", "b", "sum_n", "beyond")
         .agg(F.count(F.lit(1)).alias("common"))
     )
     # Whichever prefix ends first: all its shingles that the other set holds are in ``common``.
     possible = common.filter(
-        _overlap_possible(F.col("common"), F.col("beyond"), F.col("sum_n"))
+        likeness.reached(F.col("common") + F.col("beyond"), F.col("sum_n"))
     )
-    more = _verified(texts, nodes, possible, width)
+    more = _verified(texts, nodes, possible, likeness, width)
     final = components(links.union(more)).withColumnRenamed("node", "nid")
 
     labelled = nodes.select("node", "nid").join(final, "nid", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -65,7 +66,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs, width=3, similarity=Fraction(9, 10))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def corpus(seed=3, count=60):
     ]
 
 
-def components(rows, width=3):
+def components(rows, width=3, percent=90):
     """(doc_id, set size, component) per row, by comparing all pairs of distinct sets."""
     sets = []
     for doc_id, text, *_ in rows:
@@ -68,7 +68,7 @@ def components(rows, width=3):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 parent[root(a)] = root(b)
     out = []
     for k, (doc_id, *_) in enumerate(rows):

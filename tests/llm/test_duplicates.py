@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -12,9 +13,12 @@ from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.substrings import anchors, remove_repeats
 
 
-def test_components_equal_brute_force(table, corpus):
-    got = [tuple(r) for r in near_duplicates(table(corpus)).collect()]
-    assert brute.by_id(got) == brute.by_id(brute.components(corpus))
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 60)])
+def test_components_equal_brute_force(table, corpus, width, percent):
+    found = near_duplicates(table(corpus), width=width, similarity=Fraction(percent, 100))
+    assert brute.by_id(tuple(r) for r in found.collect()) == brute.by_id(
+        brute.components(corpus, width, percent)
+    )
 
 
 def test_near_copies_of_one_text_with_many_edits(table, monkeypatch):
@@ -31,8 +35,8 @@ def test_near_copies_of_one_text_with_many_edits(table, monkeypatch):
     assert len({w[2] for w in wanted}) > 5
     for share in (jaccard.FREQUENT_SHARE, 2.0):
         monkeypatch.setattr(jaccard, "FREQUENT_SHARE", share)
-        got = [tuple(r) for r in near_duplicates(table(rows)).collect()]
-        assert brute.by_id(got) == wanted
+        found = near_duplicates(table(rows), width=3, similarity=Fraction(9, 10))
+        assert brute.by_id(tuple(r) for r in found.collect()) == wanted
 
 
 def test_no_documents(table):

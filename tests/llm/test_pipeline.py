@@ -27,7 +27,7 @@ def test_stages(spark, table):
     model = quality.fit(spark.read.parquet(f"{TABLES}/documents.parquet"), spark.read.parquet(f"{TABLES}/labels.parquet"))
     scores = model.scores([r.text or "" for r in before])
     assert brute.by_id(good) == brute.by_id([r for r, s in zip(before, scores) if s >= quality.THRESHOLD])
-    found = brute.components([tuple(r) for r in good])
+    found = brute.components([tuple(r) for r in good], width=5, percent=80)
     kept = {i for i, n, c in found if i == c or n == 0}
     assert sorted(r.doc_id for r in single) == sorted(kept)
     repeats = {i: (gone, text) for i, _, gone, text in brute.without_repeats([(r.doc_id, r.text) for r in single])}
