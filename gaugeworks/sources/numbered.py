@@ -44,21 +44,31 @@ def number_file_lines(
         .agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"))
     )
     splits = settle(counted, "splits")
-    count = splits.count()
-    if not splits.groupBy("part", "split").count().filter("count > 1").isEmpty():
+    named = splits.groupBy("part", "split").agg(F.count(F.lit(1)).alias("same"))
+    count, most = named.agg(F.coalesce(F.sum("same"), F.lit(0)), F.max("same")).first()
+    if most and most > 1:
         raise RuntimeError("two file splits of one task have the same name")
 
     # Splits in path order: ranges of them, each summed in one task, and a fold over the ranges.
     skipped = F.when(F.col("block") == 0, 1).otherwise(0) if skip_first else F.lit(0)
-    ranges = settle(
-        splits.withColumn("size", F.col("lines") - skipped)
-        .withColumn("first_kept", F.col("first_row") + skipped)
-        .repartitionByRange(max(1, -(-count // SPLITS_PER_TASK)), "file", "block")
-        .withColumn("stretch", F.spark_partition_id().cast("bigint")),
-        "split-ranges",
+    sized = splits.withColumn("size", F.col("lines") - skipped).withColumn(
+        "first_kept", F.col("first_row") + skipped
     )
-    sums = ranges.groupBy("stretch").agg(F.sum("size").alias("size"))
-    before = exclusive_prefix(sums, "stretch", "size").select("stretch", "before", "overall")
+    stretches = -(-count // SPLITS_PER_TASK)
+    if stretches > 1:
+        ranges = settle(
+            sized.repartitionByRange(stretches, "file", "block").withColumn(
+                "stretch", F.spark_partition_id().cast("bigint")
+            ),
+            "split-ranges",
+        )
+        sums = ranges.groupBy("stretch").agg(F.sum("size").alias("size"))
+        before = exclusive_prefix(sums, "stretch", "size").select("stretch", "before", "overall")
+    else:  # one range, of SPLITS_PER_TASK rows at most, with nothing before it
+        ranges = sized.withColumn("stretch", F.lit(0).cast("bigint"))
+        before = ranges.groupBy("stretch").agg(
+            F.lit(0).cast("bigint").alias("before"), F.sum("size").alias("overall")
+        )
     earlier = (
         Window.partitionBy("stretch")
         .orderBy("file", "block")
