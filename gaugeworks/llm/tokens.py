@@ -15,6 +15,7 @@ END_ID = 2
 # own pattern always parts the two.
 _TAIL = re.compile(rb"(?s)(.*[a-z])([!-&(-/:-@\[-`{-~]+)")
 _MARK = b"0"
+_PLAIN_LIMIT = "\u0180"  # below it, letters need no composing and lower-case one by one
 
 
 class WordEncoder:
@@ -26,7 +27,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -36,6 +37,19 @@ class WordEncoder:
         self.mark = self._ids(_MARK)
         if len(self.mark) != 1:
             raise ValueError("a digit must be a token of its own")
+        # The same model for words of plain letters, which need neither composing nor parting.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends_word[number] = token.endswith(suffix)
 
     def _ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -54,27 +68,53 @@ class WordEncoder:
         return [b"".join(map(known, words)) for words in split]
 
     def _learn(self, words: list[bytes]) -> None:
-        parted = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
-        parts = {p for pair in parted.values() for p in pair} | {w for w in words if w not in parted}
+        # ``bytes.isalpha`` knows ASCII letters only, which are lower-case here.
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        parted = {w: m.groups() for w in rest if (m := _TAIL.fullmatch(w))}
+        parts = {p for pair in parted.values() for p in pair}
+        parts.update(w for w in rest if w not in parted)
+        parts.difference_update(letters)
         unknown = [p for p in parts if p not in self.cache]
-        marked = [p for p in unknown if _MARK in p]
+        letters += [p for p in unknown if p.isalpha()]
+        self._encode_letters(letters, [w.decode("ascii") for w in letters])
+        accented, marked, others = [], [], []
+        for part in unknown:
+            if part.isalpha():
+                continue
+            word = part.decode("utf-8", "replace")
+            if word.isalpha() and max(word) < _PLAIN_LIMIT and "\u0130" not in word:
+                accented.append((part, word.lower()))
+            else:
+                (marked if _MARK in part else others).append(part)
+        self._encode_letters(*zip(*accented)) if accented else None
         for part in marked:
             self.cache[part] = np.array(self._ids(part), "<u2").tobytes()
-        plain = [p for p in unknown if _MARK not in p]
         # Many words in one call, told apart by a digit, which is always a token of its own.
-        for start in range(0, len(plain), RUN_WORDS):
-            run = plain[start : start + RUN_WORDS]
+        for start in range(0, len(others), RUN_WORDS):
+            run = others[start : start + RUN_WORDS]
             ids = np.array(self._ids((b" " + _MARK + b" ").join(run)), "<u2")
-            ends = [*np.flatnonzero(ids == self.mark[0]), len(ids)]
-            if len(ends) != len(run):
-                raise ValueError("words could not be told apart")
-            data, begin = ids.tobytes(), 0
-            for part, end in zip(run, ends):
-                self.cache[part] = data[2 * begin : 2 * end]
-                begin = end + 1
+            marks = np.flatnonzero(ids == self.mark[0])
+            self._store(run, ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
         for word, (stem, tail) in parted.items():
             self.cache[word] = self.cache[stem] + self.cache[tail]
 
+    def _encode_letters(self, keys, words) -> None:
+        """Words of plain letters, told apart by the suffix of each word's last token."""
+        for start in range(0, len(keys), RUN_WORDS):
+            text = " ".join(words[start : start + RUN_WORDS])
+            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u2")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            self._store(keys[start : start + RUN_WORDS], ids, [0, *ends[:-1]], ends)
+
+    def _store(self, run: list[bytes], ids: np.ndarray, begins, ends) -> None:
+        if len(begins) != len(run) or len(ends) != len(run):
+            raise ValueError("words could not be told apart")
+        data = ids.tobytes()
+        self.cache.update(
+            zip(run, [data[2 * begin : 2 * end] for begin, end in zip(begins, ends)])
+        )
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
