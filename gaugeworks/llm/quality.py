@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKET_BITS = 17
 DIM = 16
-MAX_SAMPLE = 4000
+MAX_SAMPLE = 2000
 EPOCHS = 6
 RATE = 1.0
 GRAMS = (3, 4, 5)
@@ -120,7 +121,7 @@ def _count_features(batches):
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 11) -> QualityModel:
     """Stochastic gradient descent over (label, buckets, counts), one document at a time."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+    vectors = (rng.random((1 << BUCKET_BITS, DIM), np.float32) * 2 - 1) / DIM
     weights = np.zeros((DIM, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
     steps, done = max(1, EPOCHS * len(samples)), 0
@@ -175,7 +176,8 @@ def fit(
         .mapInArrow(_count_features, "label int, buckets binary, counts binary")
         .collect()
     )
-    rows.sort(key=lambda r: (r["label"], bytes(r["buckets"]), bytes(r["counts"])))
+    # An order that does not depend on how rows arrive, without keys as large as the rows.
+    rows.sort(key=lambda r: (r["label"], zlib.crc32(r["buckets"]), zlib.crc32(r["counts"])))
     return train(
         [
             (r["label"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"))

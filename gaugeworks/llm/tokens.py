@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 RUN_WORDS = 2000
 END_ID = 2
 
