@@ -3,8 +3,8 @@
 Documents are encoded once and put in order of the least name among their token pairs, so that
 texts sharing wording tend to be neighbours; the ordered table is cut into range partitions and
 these into shards of about ``SHARD_TOKENS`` ids. Each shard holds a BM25 inverted index over its
-documents' ids. A seed document opens a window, the unused documents that score best for the seed's
-rarest ids follow greedily, and the one that crosses the window's end is cut there and becomes
+documents' ids. A seed document opens a window, the unused documents that score best for all the
+seed's ids follow greedily, and the one that crosses the window's end is cut there and becomes
 the next seed. Every window is therefore full; only what is left at the end of a partition is shorter,
 and it goes to sequences of power-of-two lengths, which need no padding.
 
@@ -33,7 +33,6 @@ from gaugeworks.session import settle
 WINDOW = 4096
 SHARD_TOKENS = 1 << 19
 PARTITION_TOKENS = 1 << 22
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SEQUENCE_BITS = 40
 
@@ -90,18 +89,15 @@ class ShardIndex:
         self.count = len(docs)
 
     def neighbours(self, ids: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score for the rarest ids of a seed, positive scores only."""
-        terms = np.unique(ids)
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        ranges = [slice(self.first[t], self.first[t + 1]) for t in terms]
+        """Unused documents by falling score for all ids of a seed, positive scores only."""
+        ranges = [slice(self.first[t], self.first[t + 1]) for t in np.unique(ids)]
         if not ranges:
             return np.zeros(0, np.int64)
         docs = np.concatenate([self.doc[r] for r in ranges])
         scores = np.bincount(docs, np.concatenate([self.weight[r] for r in ranges]), self.count)
         scores[used] = 0
-        order = np.argsort(-scores, kind="stable")
-        return order[: int((scores > 0).sum())]
+        found = np.flatnonzero(scores > 0)
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def retrieval_order(docs: list[np.ndarray], filled: int = 0) -> list[int]:

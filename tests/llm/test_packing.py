@@ -73,3 +73,33 @@ def test_neighbours_share_rare_ids():
     assert set(best[:2].tolist()) == {3, 6} and 0 not in best
     assert sorted(retrieval_order(docs)) == list(range(9))
     assert retrieval_order([np.array([END_ID], "<u2")] * 3) == [0, 1, 2]
+
+
+def test_every_id_of_a_seed_is_asked_for():
+    # Sixty ids of the seed are rarer than the forty it shares with the last document.
+    shared = np.arange(5000, 5040)
+    docs = [np.array([*range(60), *shared, END_ID], "<u2")]
+    docs += [np.array([*range(1000 + 9 * k, 1009 + 9 * k), 5000, END_ID], "<u2") for k in range(4)]
+    docs.append(np.array([*shared, END_ID], "<u2"))
+    best = ShardIndex(docs).neighbours(docs[0][:-1], np.arange(6) == 0)
+    assert best.tolist() == [5, 1, 2, 3, 4]
+
+
+def test_neighbours_follow_the_whole_score():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, rng.integers(30, 300)) % 3000, END_ID).astype("<u2") for _ in range(80)]
+    mean = sum(len(d) - 1 for d in docs) / len(docs)
+    words = [d[:-1].tolist() for d in docs]
+    index = ShardIndex(docs)
+    for seed in range(0, 80, 7):
+        scores = np.zeros(80)
+        for term in set(words[seed]):
+            holders = sum(term in w for w in words)
+            idf = np.log(1 + (80 - holders + 0.5) / (holders + 0.5))
+            for k, w in enumerate(words):
+                n = w.count(term)
+                norm = packing.K1 * (1 - packing.B + packing.B * len(w) / mean)
+                scores[k] += idf * n * (packing.K1 + 1) / (n + norm)
+        got = index.neighbours(docs[seed][:-1], np.arange(80) == seed)
+        assert set(got.tolist()) == set(np.flatnonzero(scores > 0).tolist()) - {seed}
+        assert np.all(np.diff(scores[got]) < 1e-9)
