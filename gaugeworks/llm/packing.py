@@ -8,8 +8,9 @@ seed's ids follow greedily, and the one that crosses the window's end is cut the
 the next seed. Every window is therefore full; only what is left at the end of a partition is shorter,
 and it goes to sequences of power-of-two lengths, which need no padding.
 
-BM25 weights use the statistics of the shard, as a sharded index does; every document is indexed
-with all its ids.
+BM25 weights use the document count, document frequencies and mean length of all documents, counted
+in one pass beforehand, so a weight does not depend on the shard; every document is indexed with all
+its ids. Only the search itself is limited to the seed's shard.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; a null id
 is kept; long documents run over as many sequences as they need; an empty table gives no
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +72,62 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Dat
     return texts.mapInArrow(encode, "doc_id bigint, ids binary, tokens bigint, route bigint")
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Number of documents, their mean length without the end id, and the holders of each id."""
+
+    count: int
+    mean: float
+    holders: np.ndarray
+
+
+class HolderCount:
+    """How many documents hold each id."""
+
+    def __init__(self):
+        self.holders = np.zeros(1 << 16, dtype=np.int64)
+        self._place = np.zeros(1 << 16, dtype=np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        places = np.arange(len(ids))
+        self._place[ids] = places
+        self.holders[ids[self._place[ids] == places]] += 1  # one place of each id is left
+
+
+def _count_holders(batches):
+    counted = HolderCount()
+    for batch in batches:
+        for column in batch.column("ids"):
+            counted.add(np.frombuffer(column.as_buffer(), "<u2")[:-1])
+    terms = np.flatnonzero(counted.holders)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(terms, pa.int64()), pa.array(counted.holders[terms], pa.int64())],
+        names=["term", "holders"],
+    )
+
+
+def corpus_statistics(stored: DataFrame) -> tuple[Statistics, int]:
+    """The statistics of all encoded documents, and the number of their ids with the end ids."""
+    count, total = stored.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    found = (
+        stored.select("ids")
+        .mapInArrow(_count_holders, "term bigint, holders bigint")
+        .groupBy("term")
+        .agg(F.sum("holders").alias("holders"))
+    )
+    holders = np.zeros(1 << 16, dtype=np.int64)
+    for row in found.collect():  # at most one row for each id of the vocabulary
+        holders[row.term] = row.holders
+    return Statistics(count, (total - count) / max(1, count), holders), total
+
+
 class ShardIndex:
-    """A BM25 inverted index over the ids of one shard's documents."""
+    """A BM25 inverted index over the ids of one shard's documents.
+
+    Without the statistics of the corpus, the shard is taken as all of it.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Statistics | None = None):
         # The end id is in every document and says nothing.
         sizes = np.array([len(d) - 1 for d in docs], dtype=np.int64)
         flat = np.concatenate([d[:-1] for d in docs]).astype(np.int64)
@@ -81,28 +135,33 @@ class ShardIndex:
         keys, counts = np.unique(flat * len(docs) + owner, return_counts=True)
         self.term, self.doc = np.divmod(keys, len(docs))
         self.first = np.searchsorted(self.term, np.arange((1 << 16) + 1))
-        holders = np.diff(self.first)
-        self.idf = np.log(1 + (len(docs) - holders + 0.5) / (holders + 0.5))
-        length = sizes / max(1.0, sizes.mean())
+        corpus = corpus or Statistics(len(docs), sizes.mean(), np.diff(self.first))
+        self.idf = np.log(1 + (corpus.count - corpus.holders + 0.5) / (corpus.holders + 0.5))
+        length = sizes / max(1.0, corpus.mean)
         norm = K1 * (1 - B + B * length)[self.doc]
         self.weight = self.idf[self.term] * counts * (K1 + 1) / (counts + norm)
         self.count = len(docs)
 
     def neighbours(self, ids: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Unused documents by falling score for all ids of a seed, positive scores only."""
-        ranges = [slice(self.first[t], self.first[t + 1]) for t in np.unique(ids)]
-        if not ranges:
+        terms = np.flatnonzero(np.bincount(ids))
+        if not len(terms):
             return np.zeros(0, np.int64)
-        docs = np.concatenate([self.doc[r] for r in ranges])
-        scores = np.bincount(docs, np.concatenate([self.weight[r] for r in ranges]), self.count)
+        starts = self.first[terms]
+        sizes = self.first[terms + 1] - starts
+        shifts = starts - (np.cumsum(sizes) - sizes)
+        places = np.arange(int(sizes.sum())) + np.repeat(shifts, sizes)
+        scores = np.bincount(self.doc[places], self.weight[places], self.count)
         scores[used] = 0
         found = np.flatnonzero(scores > 0)
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def retrieval_order(docs: list[np.ndarray], filled: int = 0) -> list[int]:
+def retrieval_order(
+    docs: list[np.ndarray], filled: int = 0, corpus: Statistics | None = None
+) -> list[int]:
     """The order in which a shard's documents are laid end to end, ``filled`` ids into a window."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus)
     used = np.zeros(len(docs), dtype=bool)
     order, following, at = [], 0, filled
     seed = None
@@ -173,13 +232,13 @@ class SequenceWriter:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def _lay_out(batches):
+def _lay_out(batches, corpus: Statistics):
     """Pack one range partition: shard after shard, in the order of its rows."""
     writer = SequenceWriter(TaskContext.get().partitionId() << SEQUENCE_BITS)
     ids, docs, size = [], [], 0
 
     def finish():
-        for k in retrieval_order(docs, WINDOW - writer.room):
+        for k in retrieval_order(docs, WINDOW - writer.room, corpus):
             writer.add(ids[k], docs[k])
         return writer.take()
 
@@ -211,11 +270,11 @@ def pack_documents(
         ),
         "encoded",
     )
-    total = stored.agg(F.sum("tokens")).first()[0] or 0
+    corpus, total = corpus_statistics(stored)
     parts = max(1, math.ceil(total / PARTITION_TOKENS))
     return (
         stored.repartitionByRange(parts, "route", "row")
         .sortWithinPartitions("route", "row")
         .select("doc_id", "ids")
-        .mapInArrow(_lay_out, PIECES)
+        .mapInArrow(lambda batches: _lay_out(batches, corpus), PIECES)
     )

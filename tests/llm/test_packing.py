@@ -7,7 +7,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from gaugeworks.llm import packing
-from gaugeworks.llm.packing import ShardIndex, pack_documents, retrieval_order
+from gaugeworks.llm.packing import (
+    ShardIndex, Statistics, corpus_statistics, encoded, pack_documents, retrieval_order,
+)
 from gaugeworks.llm.tokens import END_ID, WordEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -103,3 +105,48 @@ def test_neighbours_follow_the_whole_score():
         got = index.neighbours(docs[seed][:-1], np.arange(80) == seed)
         assert set(got.tolist()) == set(np.flatnonzero(scores > 0).tolist()) - {seed}
         assert np.all(np.diff(scores[got]) < 1e-9)
+
+
+def test_statistics_are_those_of_all_documents(table, corpus, tokenizer):
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids for _, t, *_ in corpus]
+    found, total = corpus_statistics(encoded(table(corpus), VOCABULARY, "doc_id", "text"))
+    wanted = np.zeros(1 << 16, int)
+    for x in ids:
+        wanted[list(set(x))] += 1
+    assert found.holders.tolist() == wanted.tolist()
+    assert (found.count, total) == (len(ids), sum(len(x) + 1 for x in ids))
+    assert found.mean == pytest.approx(sum(map(len, ids)) / len(ids))
+    assert corpus_statistics(encoded(table([]), VOCABULARY, "doc_id", "text"))[1] == 0
+
+
+def test_shards_weigh_ids_by_the_whole_corpus():
+    # In the shard 7 is in two documents and 8 in three; in the corpus 7 is in nearly all.
+    docs = [np.array([*x, END_ID], "<u2") for x in ([7, 8], [7, 1], [8, 2], [8, 3])]
+    holders = np.ones(1 << 16, int)
+    holders[[7, 8]] = 900, 30
+    used = np.arange(4) == 0
+    alone = ShardIndex(docs).neighbours(docs[0][:-1], used)
+    within = ShardIndex(docs, Statistics(1000, 2.0, holders)).neighbours(docs[0][:-1], used)
+    assert alone.tolist() == [1, 2, 3] and within.tolist() == [2, 3, 1]
+    assert retrieval_order(docs, 0, Statistics(1000, 2.0, holders)) == [0, 2, 3, 1]
+
+
+def test_packing_hands_the_corpus_statistics_to_every_shard(monkeypatch):
+    counts = []
+
+    class Kept:
+        @staticmethod
+        def get():
+            return Kept()
+
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(packing, "TaskContext", Kept)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20)
+    monkeypatch.setattr(packing, "retrieval_order",
+                        lambda docs, filled, stats: counts.append(stats.count) or list(range(len(docs))))
+    docs = [np.array([k, END_ID], "<u2") for k in range(40)]
+    batch = packing.pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "ids": [d.tobytes() for d in docs]})
+    list(packing._lay_out([batch], packing.Statistics(40, 1.0, np.ones(1 << 16, int))))
+    assert len(counts) == 4 and set(counts) == {40}
