@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKET_BITS = 17
 DIM = 16
-MAX_SAMPLE = 2000
+MAX_SAMPLE = 4000
+SAMPLE_PARTS = 16
 EPOCHS = 6
 RATE = 1.0
 GRAMS = (3, 4, 5)
@@ -171,19 +172,22 @@ def fit(
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # Fetched part by part, so that the driver never holds all rows beside the arrays.
     rows = (
         sample.select("label", "text")
+        .coalesce(SAMPLE_PARTS)
         .mapInArrow(_count_features, "label int, buckets binary, counts binary")
-        .collect()
+        .toLocalIterator()
     )
+    samples = []
+    for label, buckets, counts in rows:
+        key = label, zlib.crc32(buckets), zlib.crc32(counts)
+        counts = np.frombuffer(counts, "<u4")
+        least = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+        samples.append((key, (label, np.frombuffer(buckets, "<u4"), least)))
     # An order that does not depend on how rows arrive, without keys as large as the rows.
-    rows.sort(key=lambda r: (r["label"], zlib.crc32(r["buckets"]), zlib.crc32(r["counts"])))
-    return train(
-        [
-            (r["label"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"))
-            for r in rows
-        ]
-    )
+    samples.sort(key=lambda s: s[0])
+    return train([s for _, s in samples])
 
 
 def score_column(model: QualityModel, text: Column) -> Column:

@@ -259,3 +259,14 @@ def test_blocks_fold_white_space():
     page = extraction.parse("<div> a\n<i>b</i><p>c &nbsp; d</p></div>e")
     assert extraction.blocks(page, np.ones(len(page.tag), bool)) == "a b\nc d\ne"
     assert html.unescape("&amp") == "&"
+
+
+def test_training_takes_all_of_four_thousand_labels(spark, table, monkeypatch):
+    rows = [(k, f"word{k % 7} text{k}", "en", "web", 10) for k in range(5000)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5000)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda samples: seen.extend(samples))
+    quality.fit(table(rows), labels)
+    usable = labels.filter(~quality.held_out(F.col("doc_id"))).count()
+    assert len(seen) == usable > 2000
+    assert [s[0] for s in seen] == sorted(s[0] for s in seen)
