@@ -18,7 +18,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.llm.boosting import Boosted, boost
 from gaugeworks.llm.dom import FEATURES, SIDE_WORDS, Page, blocks, features, parse
@@ -27,7 +27,6 @@ from gaugeworks.llm.hashing import slices
 MAX_PAGES = 200
 MADE_PAGES = 300
 MARK = "⁠"  # marks article text in generated pages
-PAGE_ELEMENTS = 2000  # elements of one page that training looks at
 
 _ASIDE_TAGS = frozenset("nav footer aside form".split())
 
@@ -210,19 +209,33 @@ def _told_samples(batches):
             if told is None or not told.any():
                 continue
             good, used = _labels(page, told)
-            at = np.flatnonzero(used)[:PAGE_ELEMENTS]
-            rows.append(features(page)[at].astype("<f4").tobytes())
-            labels.append(good[at].astype("u1").tobytes())
+            rows.append(features(page)[used].astype("<f4").tobytes())
+            labels.append(good[used].astype("u1").tobytes())
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.binary()), pa.array(labels, pa.binary())], names=["rows", "labels"]
         )
 
 
+def _told_column(html: Column) -> Column:
+    """Whether a page's own markup tells its article, as an Arrow batch function."""
+
+    @F.arrow_udf("boolean")
+    def tells(column: pa.Array) -> pa.Array:
+        told = (told_by_markup(parse(source or "")) for source in column.to_pylist())
+        return pa.array([t is not None and bool(t.any()) for t in told], pa.bool_())
+
+    return tells(html)
+
+
 def fit(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES) -> Boosted:
-    """Trees from generated pages and at most ``max_pages`` pages of the table."""
+    """Trees from generated pages and at most ``max_pages`` pages of the table that tell their parts.
+
+    All elements of these pages count. Only pages with such a tag somewhere are parsed to choose.
+    """
     made_rows, made_labels = made_samples(MADE_PAGES)
     source = F.col(html_col).alias("html")
     chosen = pages.select(source, F.xxhash64(html_col).alias("hash")).dropna()
+    chosen = chosen.filter(F.col("html").rlike("(?i)<(article|main)")).filter(_told_column(F.col("html")))
     told = chosen.orderBy("hash", "html").limit(max_pages).select("html")
     found = told.mapInArrow(_told_samples, "rows binary, labels binary").collect()
     found.sort(key=lambda r: (bytes(r["rows"]), bytes(r["labels"])))

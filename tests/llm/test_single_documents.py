@@ -270,3 +270,24 @@ def test_training_takes_all_of_four_thousand_labels(spark, table, monkeypatch):
     usable = labels.filter(~quality.held_out(F.col("doc_id"))).count()
     assert len(seen) == usable > 2000
     assert [s[0] for s in seen] == sorted(s[0] for s in seen)
+
+
+def test_training_looks_at_all_of_the_pages_that_tell_their_parts(spark, table, monkeypatch):
+    table([])
+    long = "<article>" + "<p>good text</p>" * 2100 + "</article><footer><p>the end</p></footer>"
+    pages = [f"<div><p>plain {k}</p></div>" for k in range(60)] + [f"<p><!--<main>--> {k}</p>" for k in range(20)]
+    pages += [f"<MAIN><p>one {k}</p></MAIN><nav><p>menu</p></nav>" for k in range(3)] + [long]
+    frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
+    made = extraction.made_samples(3)
+    monkeypatch.setattr(extraction, "made_samples", lambda count: made)
+    monkeypatch.setattr(extraction, "boost", lambda rows, labels: (rows, labels))
+    rows, labels = extraction.fit(frame, max_pages=4)
+    wanted = []
+    for source in pages[-4:]:
+        page = extraction.parse(source)
+        good, used = extraction._labels(page, extraction.told_by_markup(page))
+        wanted.append(good[used])
+    wanted = np.concatenate(wanted)
+    assert len(wanted) > 2100
+    assert len(rows) == len(labels) == len(made[1]) + len(wanted)
+    assert labels.sum() == made[1].sum() + wanted.sum()
