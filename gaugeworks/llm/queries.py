@@ -9,14 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.attribution import section_tokens
+from gaugeworks.llm.byte_bpe import decode_ids, encode_texts
+from gaugeworks.llm.clustering import cluster
 from gaugeworks.llm.extraction import extract_pages
 from gaugeworks.llm.fingerprints import fingerprint_versions
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.licenses import scan_licenses
 from gaugeworks.llm.mixing import mix_documents
 from gaugeworks.llm.nearest import top_k
+from gaugeworks.llm.oracles import ORACLES  # noqa: F401  (handed on with the queries)
 from gaugeworks.llm.packing import pack_documents
 from gaugeworks.llm.quality import fit, score_documents
+from gaugeworks.llm.resampling import resample
 from gaugeworks.llm.shipping import ship_package
 from gaugeworks.llm.substrings import remove_repeats
 
@@ -74,10 +78,40 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = (BYTE_VOCABULARY, public_tokenizers.PATTERN)
+    encoded = encode_texts(table(spark, sf_dir, "documents"), *vocabulary)
+    return decode_ids(encoded, *vocabulary).select(
+        "doc_id",
+        F.expr("bigint(length(ids) div 4)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op1_quality, op2_token_counts, op3_substring_dedup, op4_html_extraction, op5_fingerprints, op6_license_scan, op7_topk_search, op8_packing, op9_jaccard_join, op10_mix_sources)
+    query.__name__: query
+    for query in (
+        op1_quality,
+        op2_token_counts,
+        op3_substring_dedup,
+        op4_html_extraction,
+        op5_fingerprints,
+        op6_license_scan,
+        op7_topk_search,
+        op8_packing,
+        op9_jaccard_join,
+        op10_mix_sources,
+        op11_resampling,
+        op12_clustering,
+        op13_byte_bpe,
+    )
 }
-
-# No operator of this subpackage has its whole result in plain SQL; tests hold them against
-# brute-force versions instead.
-ORACLES: dict[str, str] = {}
