@@ -30,9 +30,11 @@ def exclusive_prefix(points: DataFrame, key: str, value: str, fold: str = "sum")
 
     ``points`` has unique non-null BIGINT keys. Returns ``key``, ``value``, ``before`` and
     ``overall`` (the fold of the whole table). ``before`` is null (0 for sums) on the first row.
-    The points are written out first; as many levels follow as their key range needs.
+    The points are written out first, unless they are a table that ``settle`` returned; as many
+    levels follow as their key range needs.
     """
-    settled = settle(points.select(key, value), "points")
+    written = hasattr(points, "settled_path")
+    settled = points if written else settle(points.select(key, value), "points")
     low, high = settled.agg(F.min(key), F.max(key)).first()
     levels = 0
     while low is not None and (high >> GROUP_BITS * levels) - (low >> GROUP_BITS * levels) >= (

@@ -17,6 +17,8 @@ from gaugeworks.operators.scans import exclusive_prefix
 from gaugeworks.session import settle
 
 DAY_MS = 86_400_000
+_KEYS = 1 << 22
+_IDS = 1 << 39
 
 
 def newest_per_tag(batches: DataFrame) -> DataFrame:
@@ -71,6 +73,36 @@ def trailing_bounds(batches: DataFrame, horizon_ms: int = DAY_MS) -> DataFrame:
     return add_bounds(batches, settle(newest_per_tag(batches), "seen"), horizon_ms)
 
 
+def window_counts(bounds: DataFrame, key: str) -> DataFrame:
+    """Add ``n_batches``, how many batches the window of each one holds; linear like the bounds.
+
+    ``key`` is a whole number from 0 to 2**22 - 1 and ids are below 2**39. Batches and bounds are
+    laid out on one line, key by key; a window holds what lies between its two places. One running
+    sum over that line, in ranges, counts it for busy and for rare keys alike.
+    """
+    wide = F.raise_error(F.lit("a key or a batch id is too large to count windows by"))
+    fits = F.col(key).between(0, _KEYS - 1) & (F.col("batch_id") < _IDS) & (F.col("after_batch_id") >= -1)
+    keyed = F.when(fits, F.col(key).cast("bigint") * (2 * _IDS + 2))
+    # Batch b lies at 2b + 1 behind its key's start, the place just behind it at 2b + 2.
+    placed = settle(
+        bounds.withColumn("start", F.coalesce(keyed, wide.cast("bigint")))
+        .withColumn("at", F.col("start") + F.col("batch_id") * 2 + 1)
+        .withColumn("low", F.col("start") + F.col("after_batch_id") * 2 + 2)
+        .drop("start"),
+        "placed",
+    )
+    points = placed.select("at", F.lit(1).alias("one")).unionByName(
+        placed.select(F.col("low").alias("at"), F.lit(0).alias("one")).distinct()
+    )
+    sums = settle(exclusive_prefix(points, "at", "one").select("at", "before"), "places")
+    return (
+        placed.join(sums.withColumnRenamed("before", "upto"), "at")
+        .join(sums.select(F.col("at").alias("low"), F.col("before").alias("below")), "low")
+        .withColumn("n_batches", F.col("upto") + 1 - F.col("below"))
+        .drop("at", "low", "upto", "below")
+    )
+
+
 def window_members(
     chosen: DataFrame, batches: DataFrame, key: str, step: int = 1 << 10
 ) -> DataFrame:

@@ -6,6 +6,7 @@ epoch ms and averages are rounded, so that results compare exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,16 +17,30 @@ from gaugeworks.operators.scans import number_rows
 from gaugeworks.plans import jobs
 from gaugeworks.schemas import STAMP, layout
 from gaugeworks.session import forget, scratch_path, settle
-from gaugeworks.sinks.lines import line_sink
+from gaugeworks.sinks.lines import line_sink, print_sink
+from gaugeworks.sinks.published import read_published, use_published
 from gaugeworks.sources.event_lines import event_lines, header_text, line_text, load_events
+from gaugeworks.sources.growing import growing_lines, open_folder
 from gaugeworks.sources.lines import stream_lines
+from gaugeworks.streaming.batches import batches_stream, read_batches_stream
+from gaugeworks.streaming.latency import match_arrivals, open_results
+from gaugeworks.streaming.progress import progress_log, stream_reject_report
 from gaugeworks.streaming.runs import open_rollups, open_windows, run_available
-from gaugeworks.streaming.trailing import trailing_bounds_stream
+from gaugeworks.streaming.summaries import (
+    averages_so_far,
+    latency_so_far,
+    running_averages,
+    running_latency,
+)
+from gaugeworks.streaming.trailing import trailing_bounds_stream, trailing_windows_stream
+from gaugeworks.streaming.upserts import read_upserts, upsert_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TRAILING_SIZE = 20  # lines per batch in the trailing queries
 TRAILING_KEYS = 3
+WATERMARK_PARTS = 8  # micro-batches of the trailing windows by the engine's watermark
+WATERMARK_HORIZON_MS = 7 * trailing.DAY_MS
 
 
 def _lines(spark: SparkSession, sf: str, kind: str, stamped: bool = True) -> DataFrame:
@@ -192,7 +207,11 @@ def stream_lines_job(spark: SparkSession, sf: str) -> DataFrame:
         )
         query.awaitTermination()
     closing = formatting.result_line_with_stamp(open_windows(spark, state))
-    written = spark.read.text(sink).union(closing.select("line"))
+    return _result_fields(spark.read.text(sink).union(closing.select("line")))
+
+
+def _result_fields(written: DataFrame) -> DataFrame:
+    """Result lines in ``value`` as columns."""
     parts = r"^sensor=(\d+) window=\[(\d+),(\d+)\) avg=([^,]+),(-?\d+)$"
     names = ("sensor_id", "window_start_ms", "window_end_ms", "avg_text", "max_stamp")
     types = ("int", "bigint", "bigint", "string", "bigint")
@@ -204,6 +223,69 @@ def stream_lines_job(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_growing(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``stream_tumbling_1d``, from files that are followed byte by byte."""
+    source, sink, state = (scratch_path(spark, label) for label in ("lines", "days", "state"))
+    for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+        run_available(jobs.windowed_temperature(growing_lines(spark, source), "1 day"), sink, state)
+    return _rounded(spark.read.parquet(sink).unionByName(open_windows(spark, state)))
+
+
+def stream_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Result lines to a target that is not one of Spark's own formats."""
+    source, sink, state = (scratch_path(spark, label) for label in ("lines", "target", "state"))
+    target = {"fmt": use_published(spark), "options": {"path": sink}}
+    for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+        results = formatting.result_line_with_stamp(jobs.windowed_temperature(stream_lines(spark, source)))
+        line_sink(results, None, state, **target, availableNow=True).awaitTermination()
+    closing = formatting.result_line_with_stamp(open_windows(spark, state))
+    line_sink(closing, None, mode="append", **target)
+    return _result_fields(read_published(spark, sink).select("value"))
+
+
+def stream_windows_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Days with the open ones, whose rows every micro-batch replaces."""
+    source, sink, state = (scratch_path(spark, label) for label in ("lines", "days", "state"))
+    for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+        results = jobs.windowed_temperature(stream_lines(spark, source), "1 day")
+        upsert_sink(results, sink, state, merge_every=2, availableNow=True).awaitTermination()
+    return _rounded(read_upserts(spark, sink))
+
+
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    labels = ("lines", "days", "state", "progress")
+    source, sink, state, counts = (scratch_path(spark, label) for label in labels)
+    with progress_log(spark, counts):
+        for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+            run_available(jobs.windowed_temperature(stream_lines(spark, source), "1 day"), sink, state)
+    return stream_reject_report(spark, counts).select("reason", F.col("count").alias("n"))
+
+
+def stream_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean temperature per sensor of all that has come, over three runs."""
+    source, parts, state = (scratch_path(spark, label) for label in ("lines", "parts", "state"))
+    for _ in _land_in_time_order(spark, _lines(spark, sf, "bme280"), source):
+        readings = parse_readings(filters.drop_headers(stream_lines(spark, source)), "bme280")
+        running_averages(readings, parts, state, availableNow=True).awaitTermination()
+    return _with_nan_flag(averages_so_far(spark, parts))
+
+
+def printed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What the console sink prints, caught in one file per partition."""
+    results = formatting.result_line_with_stamp(jobs.windowed_temperature(_lines(spark, sf, "bme280")))
+    folder = scratch_path(spark, "printed")
+
+    def catch(texts) -> None:
+        files, place = open_folder(folder)
+        files.create_dir(place, recursive=True)
+        with files.open_output_stream(f"{place}/{uuid.uuid4().hex}.txt") as out:
+            for text in texts:
+                out.write(f"{text}\n".encode())
+
+    print_sink(results, emit_all=catch)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
 # --- batches -------------------------------------------------------------------------------
 
 
@@ -239,6 +321,32 @@ def batch_event_time(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_count_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches of the line files, which land in three steps that cut batches anywhere."""
+    labels = ("files", "batches", "held", "state")
+    source, sink, held, state = (scratch_path(spark, label) for label in labels)
+    files = spark.read.text(write_line_files(spark, sf, "pms7003"))
+    files = files.select("value", F.col("day").cast("string").alias("day"), F.monotonically_increasing_id().alias("at"))
+    landing = settle(files, "landing")
+    days = [row.day for row in landing.select("day").distinct().orderBy("day").collect()]
+    for step in range(3):
+        chosen = days[len(days) * step // 3 : len(days) * (step + 1) // 3]
+        landed = landing.filter(F.col("day").isin(chosen)).repartition("day")
+        landed = landed.sortWithinPartitions("day", "at").select("day", "value")
+        landed.write.mode("append").partitionBy("day").text(source)
+        batches_stream(
+            stream_lines(spark, source), sink, held, state, availableNow=True
+        ).awaitTermination()
+    batches = read_batches_stream(spark, sink, held)
+    return batches.select(
+        "batch_id",
+        "is_last",
+        _joined(),
+        F.unix_millis("event_ts").alias("event_ms"),
+        F.unix_millis("arrival_ts").alias("arrival_ms"),
+    )
+
+
 def batch_header_strip(spark: SparkSession, sf: str) -> DataFrame:
     # Batches of seven, so that header lines fall on every position of a batch.
     return batching.strip_batch_header(_batches(spark, sf, 7)).select("batch_id", _joined())
@@ -293,15 +401,27 @@ def trailing_day_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trailing_day_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The windows of all batches written out as lists; the bounds say the same in linear space."""
+    """The windows of all batches in linear space: where each one begins and how many it holds."""
     bounds = trailing.trailing_bounds(_keyed_batches(spark, sf))
-    bounds = settle(bounds.select("station", "batch_id", "after_batch_id"), "bounds")
-    members = trailing.window_members(bounds, bounds.drop("after_batch_id"), "station")
-    listed = members.groupBy("station", "batch_id").agg(
-        F.sort_array(F.collect_list("member_id")).alias("ids")
-    )
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return listed.select("station", "batch_id", ids.alias("window_ids"))
+    counted = trailing.window_counts(bounds.select("station", "batch_id", "after_batch_id"), "station")
+    return counted.select("station", "batch_id", "after_batch_id", "n_batches")
+
+
+def stream_trailing_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows by the watermark the engine holds, eight micro-batches in two runs."""
+    labels = ("batches", "windows", "state")
+    source, sink, state = (scratch_path(spark, label) for label in labels)
+    batches = _keyed_batches(spark, sf).select("station", "batch_id", "event_ts")
+    batches = settle(batches, "keyed")
+    count = batches.count()
+    part = F.expr(f"batch_id * {WATERMARK_PARTS} div {count}")
+    for number in range(WATERMARK_PARTS):
+        batches.filter(part == number).coalesce(1).write.mode("append").parquet(source)
+        if number % (WATERMARK_PARTS // 2) == WATERMARK_PARTS // 2 - 1:
+            stream = spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            windows = trailing_windows_stream(stream, ["station"], WATERMARK_HORIZON_MS)
+            run_available(windows, sink, state)
+    return spark.read.parquet(sink).select("station", "batch_id", "arrival_ms", "after_batch_id")
 
 
 def stream_trailing_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,6 +530,53 @@ def latency_loop(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _arrivals(results: DataFrame) -> DataFrame:
+    """Arrivals of results; a seventh never arrives, and an eleventh two hours late."""
+    order = F.expr("window_start_ms div 60000") * (1 << 32) + F.col("sensor_id")
+    delay = F.expr("window_start_ms div 1000 % 997") + F.col("sensor_id") % 89
+    late = F.when(order % 11 == 0, 2 * 3_600_000).otherwise(delay)
+    came = results.filter(order % 7 != 0)
+    return came.select("sensor_id", "window_start_ms", (F.col("max_stamp") + late).alias("ingestion_ts_ms"))
+
+
+_MATCHED = ("sensor_id", "window_start_ms", "event_ts_ms", "ingestion_ts_ms", "latency_ms")
+
+
+def latency_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency of results and arrivals that are two tables."""
+    results = settle(jobs.windowed_temperature(_lines(spark, sf, "bme280")), "results")
+    return match_arrivals(results, _arrivals(results)).select(*_MATCHED)
+
+
+def stream_latency_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency of results and arrivals that are two streams, over three runs."""
+    labels = ("results", "arrivals", "matched", "state")
+    folders = [scratch_path(spark, label) for label in labels]
+    results = settle(jobs.windowed_temperature(_lines(spark, sf, "bme280")), "all-results")
+    arrivals = _arrivals(results)
+    low, high = results.agg(F.min("max_stamp"), F.max("max_stamp")).first()
+    cuts = [low, low + (high - low) // 3, low + (high - low) * 2 // 3, 1 << 62]
+    for first, after in zip(cuts, cuts[1:]):
+        streams = []
+        for table, time, folder in zip((results, arrivals), ("max_stamp", "ingestion_ts_ms"), folders):
+            landed = table.filter((F.col(time) >= first) & (F.col(time) < after))
+            landed.write.mode("append").parquet(folder)
+            streams.append(spark.readStream.schema(table.schema).parquet(folder))
+        run_available(match_arrivals(*streams), *folders[2:])
+    written = spark.read.parquet(folders[2])
+    return written.unionByName(open_results(spark, folders[3], written)).select(*_MATCHED)
+
+
+def stream_latency_summary(spark: SparkSession, sf: str) -> DataFrame:
+    source, parts, state = (scratch_path(spark, label) for label in ("log", "parts", "state"))
+    log = settle(_log(spark, sf), "log")
+    for part in range(3):
+        log.filter(F.col("ord") % 3 == part).select("value").write.mode("append").text(source)
+        parsed = latency.parse_latency(stream_lines(spark, source))
+        running_latency(parsed, parts, state, availableNow=True).awaitTermination()
+    return latency_so_far(spark, parts)
+
+
 QUERIES: dict[str, Query] = {
     "q_tumbling_avg_1m": tumbling_avg("1 minute"),
     "q_tumbling_avg_1h": tumbling_avg("1 hour"),
@@ -452,4 +619,15 @@ QUERIES: dict[str, Query] = {
     "q_rolling_latency": rolling_latency,
     "q_latency_report": latency_report,
     "q_latency_loop": latency_loop,
+    "q_print_sink": printed_lines,
+    "q_stream_published_lines": stream_published,
+    "q_stream_growing_files": stream_growing,
+    "q_stream_windows_update": stream_windows_update,
+    "q_stream_reject_report": stream_rejects,
+    "q_stream_averages": stream_averages,
+    "q_stream_count_batches": stream_count_batches,
+    "q_stream_trailing_watermark": stream_trailing_watermark,
+    "q_latency_arrivals": latency_arrivals,
+    "q_stream_latency_arrivals": stream_latency_arrivals,
+    "q_stream_latency_summary": stream_latency_summary,
 }

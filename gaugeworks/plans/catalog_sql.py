@@ -5,7 +5,12 @@ Written from the table columns and the defect rules of ``event_lines``; nothing
 
 from __future__ import annotations
 
-from gaugeworks.plans.catalog import TRAILING_KEYS, TRAILING_SIZE
+from gaugeworks.plans.catalog import (
+    TRAILING_KEYS,
+    TRAILING_SIZE,
+    WATERMARK_HORIZON_MS,
+    WATERMARK_PARTS,
+)
 
 DAY_MS = 86_400_000
 
@@ -136,20 +141,43 @@ timed AS (
 
 JOINED = "string_agg(value, '|' ORDER BY n) AS lines"
 
-TRAILING = f"""WITH {batch_times(TRAILING_SIZE)}
-SELECT a.station, a.batch_id,
-  string_agg(CAST(b.batch_id AS VARCHAR), ',' ORDER BY b.batch_id) AS window_ids
-FROM timed a JOIN timed b ON a.station = b.station AND (
-  a.batch_id = b.batch_id OR (b.batch_id < a.batch_id AND b.wm > a.wm - {DAY_MS}))
-GROUP BY a.station, a.batch_id"""
-
-BOUNDS = f"""WITH {batch_times(TRAILING_SIZE)}
-SELECT a.station, a.batch_id,
+BOUND_ROWS = f"""SELECT a.station, a.batch_id,
   CASE WHEN a.wm IS NULL THEN a.batch_id - 1 ELSE coalesce((
     SELECT max(b.batch_id) FROM timed b
     WHERE b.batch_id < a.batch_id AND (b.wm IS NULL OR b.wm <= a.wm - {DAY_MS})
   ), -1) END AS after_batch_id
 FROM timed a"""
+BOUNDS = f"WITH {batch_times(TRAILING_SIZE)} {BOUND_ROWS}"
+
+# The batches of a window counted one by one.
+TRAILING = f"""WITH {batch_times(TRAILING_SIZE)},
+bounds AS ({BOUND_ROWS}),
+members AS (
+  SELECT a.station, a.batch_id, count(*) AS n_batches
+  FROM timed a JOIN timed b ON a.station = b.station AND (
+    a.batch_id = b.batch_id OR (b.batch_id < a.batch_id AND b.wm > a.wm - {DAY_MS}))
+  GROUP BY a.station, a.batch_id
+)
+SELECT station, batch_id, after_batch_id, n_batches FROM bounds JOIN members USING (station, batch_id)"""
+
+# The watermark of a micro-batch is the newest time of all before it.
+WATERMARKS = f"""WITH {batch_times(TRAILING_SIZE)},
+parts AS (
+  SELECT station, batch_id, event_ms, batch_id * {WATERMARK_PARTS} // count(*) OVER () AS part FROM timed
+),
+marks AS (
+  SELECT part, max(max(event_ms)) OVER (
+    ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+  FROM parts GROUP BY part
+),
+tagged AS (SELECT station, batch_id, part, mark FROM parts JOIN marks USING (part))
+SELECT a.station, a.batch_id, a.mark AS arrival_ms,
+  CASE WHEN a.mark IS NULL THEN a.batch_id - 1 ELSE coalesce((
+    SELECT max(b.batch_id) FROM tagged b
+    WHERE b.station = a.station AND b.part < a.part
+      AND (b.mark IS NULL OR b.mark <= a.mark - {WATERMARK_HORIZON_MS})
+  ), -1) END AS after_batch_id
+FROM tagged a"""
 
 PMS_FIELDS = """
   CASE WHEN ord % 2 = 1 THEN ev.sensor_id END AS sensor_id,
@@ -210,6 +238,16 @@ log AS (
   FROM lat WHERE ord % 13 <> 0
 )"""
 
+ARRIVALS = f"""{results(60_000)},
+named AS (
+  SELECT *, window_start_ms // 60000 * 4294967296 + sensor_id AS ord,
+    window_start_ms // 1000 % 997 + sensor_id % 89 AS delay FROM res
+)
+SELECT sensor_id, window_start_ms, max_stamp AS event_ts_ms,
+  CASE WHEN ord % 7 <> 0 AND ord % 11 <> 0 THEN max_stamp + delay END AS ingestion_ts_ms,
+  CASE WHEN ord % 7 <> 0 AND ord % 11 <> 0 THEN delay END AS latency_ms
+FROM named"""
+
 ORACLES: dict[str, str] = {
     "q_tumbling_avg_1m": tumbling(60_000),
     "q_tumbling_avg_1h": tumbling(3_600_000),
@@ -280,4 +318,25 @@ SELECT n, ord, round(mean_50, 6) AS rolling_ms FROM log WHERE n >= 49""",
 SELECT sensor_id, window_start_ms, max_stamp AS event_ts_ms, TRUE AS arrived_after FROM res""",
     "q_latency_report": f"""WITH {LATENCIES}
 SELECT n, latency_ms, rel_s, CASE WHEN n >= 49 THEN round(mean_50, 6) END AS rolling_ms FROM log""",
+    "q_print_sink": f"""WITH {results(60_000)}
+SELECT {PLAIN_LINE} || ',' || max_stamp AS line FROM res""",
+    "q_stream_growing_files": tumbling(DAY_MS),
+    "q_stream_windows_update": tumbling(DAY_MS),
+    "q_stream_averages": f"""WITH {EVENTS}
+SELECT sensor_id, count(main) = 0 AS is_nan, round(coalesce(avg(main), 0), 6) AS avg_temp
+FROM ev GROUP BY sensor_id""",
+    "q_stream_count_batches": f"""WITH {file_batches(100)},
+own AS (
+  SELECT batch_id, is_last, string_agg(numbered.value, '|' ORDER BY n) AS lines, max(ev.t) AS newest
+  FROM numbered JOIN ev USING (event_id) GROUP BY batch_id, is_last
+)
+SELECT batch_id, is_last, lines, max(newest) OVER (ORDER BY batch_id) AS event_ms,
+  max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS arrival_ms
+FROM own""",
+    "q_stream_trailing_watermark": WATERMARKS,
+    "q_latency_arrivals": f"WITH {ARRIVALS}",
+    "q_stream_latency_arrivals": f"WITH {ARRIVALS}",
 }
+ORACLES["q_stream_published_lines"] = ORACLES["q_stream_lines_job"]
+ORACLES["q_stream_reject_report"] = ORACLES["q_reject_report"]
+ORACLES["q_stream_latency_summary"] = ORACLES["q_latency_summary"]

@@ -13,17 +13,22 @@ def _text(row: Row) -> str:
 
 
 def print_sink(
-    results: DataFrame, emit: Callable[[str], None] = print
+    results: DataFrame,
+    emit: Callable[[str], None] = print,
+    emit_all: Callable[[Iterable[str]], None] | None = None,
 ) -> StreamingQuery | None:
     """Print every result, one text line each, on the executor that holds it.
 
     The text is the ``line`` column, or all columns without one. ``emit`` takes the text in place
-    of ``print``. A stream prints each result once per attempt.
+    of ``print``; for a table ``emit_all`` may take all texts of a partition instead. A stream prints
+    each result once per attempt.
     """
     if results.isStreaming:
         return results.writeStream.foreach(lambda row: emit(_text(row))).outputMode("append").start()
 
     def print_all(rows: Iterable[Row]) -> None:
+        if emit_all is not None:
+            return emit_all(map(_text, rows))
         for row in rows:
             emit(_text(row))
 

@@ -1,4 +1,9 @@
-"""Text files with dense line numbers, without a shuffle of the lines."""
+"""Text files with dense line numbers, without a shuffle of the lines.
+
+The lines are written once to the shared folder, each with its place: file, start of the file split it
+was read from, and a row number that rises within the split. Counts and numbers both come from that
+table, so they fit however the files were dealt to tasks, and whatever is read twice.
+"""
 
 from __future__ import annotations
 
@@ -16,34 +21,41 @@ SPLITS_PER_TASK = 10_000
 PARTITION_BITS = 33  # of monotonically_increasing_id
 
 
-def number_file_lines(
-    spark: SparkSession, path: str | list[str], skip_first: bool = True
-) -> DataFrame:
-    """Lines of text files with ``n`` = 0, 1, 2, ... in path and file order, and ``total``.
+def locate_lines(lines: DataFrame, label: str = "lines") -> DataFrame:
+    """Write lines (``value``, ``file``, ``block``) with ``row``, ``part`` and ``split``.
 
-    ``skip_first`` leaves out the first line of every file, whatever it says. A first pass
-    counts the lines of each file split; the second adds the split's offset to the line's
-    position in the split. Both passes read the same splits, so the counts fit. A split is
-    known by its scan partition and a 64-bit hash of its place, which the first pass checks.
+    ``row`` rises along a file split, ``part`` is the task that read it and ``split`` a 64-bit
+    hash of its place.
     """
-    lines = read_lines(spark, path)
-    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    located = lines.select(
-        "value",
-        F.monotonically_increasing_id().alias("row"),
-        F.xxhash64(*place).alias("split"),
-    ).withColumn("part", F.shiftright("row", PARTITION_BITS))
-    counted = (
+    row = F.monotonically_increasing_id()
+    return settle(
         lines.select(
-            place[0].alias("file"),
-            place[1].alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-            F.xxhash64(*place).alias("split"),
-        )
-        .groupBy(F.shiftright("row", PARTITION_BITS).alias("part"), "split", "file", "block")
-        .agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"))
+            "value", "file", "block",
+            row.alias("row"),
+            F.shiftright(row, PARTITION_BITS).alias("part"),
+            F.xxhash64("file", "block").alias("split"),
+        ),
+        label,
+    )
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """Text file lines, table or stream, with the ``file`` and ``block`` they come from."""
+    return lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+
+
+def number_located(located: DataFrame, skip_first: bool = True) -> DataFrame:
+    """Lines of ``locate_lines`` with ``n`` = 0, 1, 2, ... in path and file order, and ``total``."""
+    splits = settle(
+        located.groupBy("part", "split", "file", "block").agg(
+            F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row")
+        ),
+        "splits",
     )
-    splits = settle(counted, "splits")
     named = splits.groupBy("part", "split").agg(F.count(F.lit(1)).alias("same"))
     count, most = named.agg(F.coalesce(F.sum("same"), F.lit(0)), F.max("same")).first()
     if most and most > 1:
@@ -87,8 +99,21 @@ def number_file_lines(
     )
     if count * OFFSET_BYTES <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
+    # A line without an offset would be one that the counts do not know: an error, not a loss.
+    unknown = F.raise_error(F.lit("a line has no place among the file splits"))
     return (
-        located.join(offsets, ["part", "split"])
-        .filter(F.col("row") >= F.col("first_kept"))
+        located.select("value", "part", "split", "row")
+        .join(offsets, ["part", "split"], "left")
+        .filter(F.coalesce(F.col("first_kept"), unknown) <= F.col("row"))
         .select("value", (F.col("row") + F.col("shift")).alias("n"), "total")
     )
+
+
+def number_file_lines(
+    spark: SparkSession, path: str | list[str], skip_first: bool = True
+) -> DataFrame:
+    """Lines of text files with ``n`` = 0, 1, 2, ... in path and file order, and ``total``.
+
+    ``skip_first`` leaves out the first line of every file, whatever it says.
+    """
+    return number_located(locate_lines(placed_lines(read_lines(spark, path))), skip_first)
