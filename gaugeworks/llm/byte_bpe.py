@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gaugeworks.llm.hashing import slices
 from gaugeworks.session import forget, settle
 
-CHUNK_BYTES = 1 << 18
-OVERLAP_BYTES = 1 << 12
+CHUNK_BYTES = 1 << 15
+OVERLAP_BYTES = 1 << 10
 # The pattern may look at two characters behind the end of a match ('re, 've, 'll).
 LOOK_AHEAD = 2
 # Longer runs of white space overflow the stack of tiktoken's pattern matcher.
