@@ -11,7 +11,8 @@ Components are taken as floor(1024 x). Defined cases: vectors that are null or e
 null or non-finite components, and rows with a null id take no part; vectors of different length
 have no score with each other; repeated rows are candidates and queries of their own, and only the
 query's own row is left out; equal scores go to the smaller id; fewer candidates than k give
-fewer rows; extra columns are ignored. Quantized components must fit into 32 bits.
+fewer rows; components beyond 2**60 count as 2**60 and scores beyond a long as the largest long;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gaugeworks.llm.clustering import kept_vectors
 from gaugeworks.session import settle
 
 SCALE = 1024
 PIVOTS = 128
 K = 10
 QUERY_EVERY = 100
+MOST = 2**63 - 1
 
 
 def _block_rows(rows: int) -> int:
@@ -36,37 +40,40 @@ def _block_rows(rows: int) -> int:
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, dim and the quantized vector (32-bit numbers) of every row that takes part."""
+    """vec_id, dim and the quantized vector of every row that takes part."""
 
     def quantize(batches):
         for batch in batches:
-            ids, dims, found = [], [], []
-            for vec_id, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vector"))):
-                if vec_id is None or not values or None in values:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            for dim in pc.unique(pc.list_value_length(batch.column(1))).to_pylist():
+                if not dim:
                     continue
-                x = np.floor(np.asarray(values, dtype=np.float64) * SCALE)
-                if not np.isfinite(x).all():
-                    continue
-                if np.abs(x).max() >= 2**31:
-                    raise ValueError(f"vector {vec_id} does not fit into 32 bits")
-                ids.append(vec_id)
-                dims.append(len(x))
-                found.append(x.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(found, pa.binary())],
-                names=["vec_id", "dim", "vector"],
-            )
+                ids, x = kept_vectors(batch, dim)
+                small = (np.abs(x) < 2**31).all(axis=1)
+                found = [row.astype("<i4" if fits else "<i8").tobytes() for row, fits in zip(x, small)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([dim] * len(x), pa.int32()), pa.array(found, pa.binary())],
+                    names=["vec_id", "dim", "vector"],
+                )
 
     return (
-        vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"))
+        vectors.select(
+            F.col(id_col).cast("bigint").alias("vec_id"),
+            F.col(vector_col).cast("array<double>").alias("vector"),
+        )
         .mapInArrow(quantize, "vec_id bigint, dim int, vector binary")
         .withColumn("row", F.monotonically_increasing_id())
     )
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    data = b"".join(column.to_pylist() if hasattr(column, "to_pylist") else column)
-    return np.frombuffer(data, "<i4").reshape(-1, dim).astype(np.float64)
+    """Rows of 32-bit or, where they do not fit, 64-bit numbers, as whole doubles."""
+    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    data = b"".join(rows)
+    if len(data) == 4 * dim * len(rows):
+        return np.frombuffer(data, "<i4").reshape(-1, dim).astype(np.float64)
+    kinds = ["<i4" if len(row) == 4 * dim else "<i8" for row in rows]
+    return np.array([np.frombuffer(row, kind).astype(np.float64) for row, kind in zip(rows, kinds)])
 
 
 def _scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -74,7 +81,11 @@ def _scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     most = np.abs(queries).max() * np.abs(data).max() * queries.shape[1]
     if most < 2**53:
         return (queries @ data.T).astype(np.int64)
-    return queries.astype(np.int64) @ data.astype(np.int64).T
+    a, b = queries.astype(np.int64), data.astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    return np.clip(exact, -MOST, MOST).astype(np.int64)
 
 
 def _by_dim(dims: np.ndarray):

@@ -40,3 +40,15 @@ def test_few_and_no_vectors(spark, table):
     frame = spark.createDataFrame([(100, [0.1, 0.2]), (7, [0.3, -0.4])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in top_k(frame).collect()] == [(100, 1, 7, 102 * 307 - 204 * 410)]
     assert top_k(frame.filter("false")).collect() == []
+
+
+def test_large_components_take_part(spark, table):
+    table([])
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(200, [3e6, -3e6, 1.0, 0.0]), (201, [2.5e6, 1e6, 0.5, 2.0]), (300, [-2e6, 1.0, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = top_k(frame, query_every=20, pivots=8)
+    assert brute.by_id([tuple(r) for r in got.collect()]) == wanted(rows, 10, 20)
+    far = spark.createDataFrame([(100, [1e300, 0.0]), (7, [1e300, 1.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in top_k(far).collect()] == [(100, 1, 7, 2**63 - 1)]
