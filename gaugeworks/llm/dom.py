@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,9 +48,9 @@ TAG_KINDS = {
     **dict.fromkeys("a b i em strong span small code".split(), 10),
 }
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_TAG_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+# Possessive: what is read once is not tried again.
+_TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -67,58 +66,119 @@ class Page:
     pieces: list[tuple[int, str, int]] = field(default_factory=list)
 
 
+class _Marks:
+    """Comments, declarations and tags of a page, in one pass forward.
+
+    A tag whose quotes are never closed would be read to the end of the page in vain. From the
+    first such tag on, tags end at the next ``>``, quoted or not, so that no part of a page is read
+    more than a few times however it is broken.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.quotes = True
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next mark: start, end, name ('' if none), whether it closes, and attributes."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            at = start + 1
+            if source.startswith("!--", at):
+                end = source.find("-->", at + 3)
+                return start, len(source) if end < 0 else end + 3, "", False, ""
+            if start > self.last:
+                continue  # nothing that is closed by > starts here
+            if source.startswith(("!", "?"), at):
+                return start, source.index(">", at) + 1, "", False, ""
+            if name := _TAG_NAME.match(source, at):
+                end = self._end(name.end())
+                attributes = source[name.end() : end - 1]
+                return start, end, name[1].lower(), source[at] == "/", attributes
+        return None
+
+    def _end(self, at: int) -> int:
+        if self.quotes:
+            if rest := _TAG_REST.match(self.source, at):
+                return rest.end()
+            self.quotes = False
+        return self.source.index(">", at) + 1
+
+
+class _Open:
+    """The open elements, and where those of each tag are on the stack."""
+
+    def __init__(self, page: Page):
+        self.page = page
+        self.stack = [0]
+        self.depths: dict[str, list[int]] = {}
+        self.scopes = [0]
+        self.unseen = 0
+
+    def push(self, number: int) -> None:
+        tag = self.page.tag[number]
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(number)
+        self.unseen += tag in UNSEEN
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all in it."""
+        while len(self.stack) > depth:
+            tag = self.page.tag[self.stack.pop()]
+            self.depths[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.unseen -= tag in UNSEEN
+
+    def innermost(self, tag: str) -> int:
+        """The depth of the innermost open element of a tag, 0 if there is none."""
+        depths = self.depths.get(tag)
+        return depths[-1] if depths else 0
+
+
 def parse(source: str) -> Page:
-    """Elements and text of a page; broken nesting is mended as browsers do in the common cases."""
-    page, stack, block, at = Page(), [0], 0, 0
-    unseen, open_ = 0, Counter()
-    for mark in _MARKUP.finditer(source):
-        if mark.start() < at:
-            continue
-        if mark.start() > at and not unseen:
-            page.pieces.append((stack[-1], source[at : mark.start()], block))
-        at = mark.end()
-        name = (mark[2] or "").lower()
+    """Elements and text of a page; broken nesting is mended as browsers do in the common cases.
+
+    The time is linear in the length of the page, well-formed or not.
+    """
+    page, block, at = Page(), 0, 0
+    marks, opened = _Marks(source), _Open(page)
+    while mark := marks.after(at):
+        start, end, name, closes, attributes = mark
+        if start > at and not opened.unseen:
+            page.pieces.append((opened.stack[-1], source[at:start], block))
+        at = end
         if not name:
             continue
-        if mark[1]:
-            while open_[name]:
-                tag = page.tag[stack.pop()]
-                open_[tag] -= 1
-                unseen -= tag in UNSEEN
-                if tag == name:
-                    break
+        if closes:
+            if depth := opened.innermost(name):
+                opened.cut(depth)
             block += name in BLOCK
             continue
         closing = CLOSED_BY.get(name, set()) | ({"p"} if name in BLOCK else set())
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[depth]]
-            if tag in closing:
-                for k in stack[depth:]:
-                    unseen -= page.tag[k] in UNSEEN
-                    open_[page.tag[k]] -= 1
-                del stack[depth:]
-                break
-            if tag in SCOPES:
-                break
+        depth = max(map(opened.innermost, closing), default=0)
+        if depth and depth >= opened.scopes[-1]:
+            opened.cut(depth)
         block += name in BLOCK
-        if name == "br" and not unseen:
-            page.pieces.append((stack[-1], " ", block))
+        if name == "br" and not opened.unseen:
+            page.pieces.append((opened.stack[-1], " ", block))
         number = len(page.tag)
         page.tag.append(name)
-        page.parent.append(stack[-1])
-        found = [a or b or c for a, b, c in _NAMED.findall(mark[3] or "")] if mark[3] else []
+        page.parent.append(opened.stack[-1])
+        found = [a or b or c for a, b, c in _NAMED.findall(attributes)] if attributes else []
         page.words.append(tuple(_WORD.findall(_CAMEL.sub(" ", " ".join(found)).lower())))
-        if name in VOID or (mark[3] or "").endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(source, at)
+            end = source.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(source)
             continue
-        stack.append(number)
-        open_[name] += 1
-        unseen += name in UNSEEN
-    if at < len(source) and not unseen:
-        page.pieces.append((stack[-1], source[at:], block))
+        opened.push(number)
+    if at < len(source) and not opened.unseen:
+        page.pieces.append((opened.stack[-1], source[at:], block))
     return page
 
 
