@@ -2,14 +2,22 @@
 
 A paragraph is a line, cut into pieces of at most ``PIECE_WORDS`` words, so that texts of one
 line have parts too; a piece that repeats within a text counts once per occurrence. Each digest goes
-to one cell in each of three parts of a small table; a cell keeps the number of its digests, their
+to one cell in each of three parts of a table; a cell keeps the number of its digests, their
 sum and the sum of their checks. Subtracting two sketches cancels what both texts hold, and
-peeling cells that hold one digest recovers the differing digests. If peeling gets stuck, both
-texts are sketched again with more cells. Likeness is the Jaccard similarity that follows.
+peeling cells that hold one digest recovers the differing digests. Likeness is the Jaccard
+similarity that follows.
+
+A sketch is as large as its own text needs to be peeled: the least power of two of cells per part
+that does, which is tried when it is made and follows from the text alone. Sizes nest, as a
+large table folds onto a smaller one. So any two sketches can be compared without their texts: the
+larger is folded and both are subtracted. Where that cannot be peeled, as the texts differ by more than
+the smaller one holds, both are peeled by themselves and their digests are sketched larger, again and
+again, until the difference peels.
 
 Defined cases: a null text is the empty text; two empty texts have likeness 1; equal ids are
-ordered by text and a null id comes after all others; repeated rows follow each other; a table of
-one row is followed by itself; an empty table gives no rows; extra columns are ignored.
+ordered by text and a null id comes after all others; repeated rows follow each other; rows of equal
+id, null ids among them, are handled by one task, piece by piece; a table of one row is followed by
+itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from gaugeworks.llm.hashing import Words, mix, powers, slices
 
 PIECE_WORDS = 8
-CELLS = 15
 PARTS = 3
-GROWTH = 4
 # Neighbouring ids are handled in groups of about this many documents; at most MAX_GROUPS bounds
 # reach the driver.
 GROUP_DOCS = 1500
@@ -66,22 +72,15 @@ def _check(keys: np.ndarray) -> np.ndarray:
     return mix(keys ^ _CHECK)
 
 
-def _places(keys: np.ndarray, cells: np.ndarray, seed: int) -> np.ndarray:
-    """The cell of each key in each part of its own table of ``cells`` cells."""
-    part = (cells // PARTS).astype(np.uint64)
-    out = np.empty((PARTS, len(keys)), np.int64)
-    for k in range(PARTS):
-        out[k] = (mix(keys + np.uint64(1 + k + PARTS * seed)) % part + np.uint64(k) * part).astype(np.int64)
-    return out
-
-
 class Sketches:
-    """The tables of many texts, laid end to end; ``cells[d]`` is the size of table ``d``."""
+    """The tables of many texts, laid end to end; ``size[d]`` cells in each part of table ``d``."""
 
-    def __init__(self, cells: np.ndarray, seed: int = 0):
-        self.cells, self.seed = cells, seed
+    def __init__(self, size: np.ndarray, seed: int = 0):
+        self.size, self.seed = size.astype(np.int64), seed
+        cells = self.size * PARTS
         self.base = np.cumsum(cells) - cells
         total = int(cells.sum())
+        self.home = np.repeat(np.arange(len(cells)), cells)
         self.count = np.zeros(total, np.int64)
         self.sum = np.zeros(total, np.uint64)
         self.check = np.zeros(total, np.uint64)
@@ -90,26 +89,59 @@ class Sketches:
         """Insert (sign 1) or remove (sign -1) digests."""
         signs = np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
         times = signs.astype(np.uint64)  # -1 wraps around, as the sums do
-        for place in _places(keys, self.cells[owner], self.seed):
-            at = place + self.base[owner]
+        size, sums, checks = self.size[owner], keys * times, _check(keys) * times
+        for k in range(PARTS):
+            hashed = mix(keys + np.uint64(1 + k + PARTS * self.seed)).astype(np.int64)
+            at = self.base[owner] + k * size + (hashed & (size - 1))
             np.add.at(self.count, at, signs)
-            np.add.at(self.sum, at, keys * times)
-            np.add.at(self.check, at, _check(keys) * times)
+            np.add.at(self.sum, at, sums)
+            np.add.at(self.check, at, checks)
+
+    def chosen(self, tables: np.ndarray) -> Sketches:
+        """Some of the tables, as sketches of their own."""
+        out = Sketches(self.size[tables], self.seed)
+        at = np.arange(len(out.count)) + (self.base[tables] - out.base)[out.home]
+        out.count, out.sum, out.check = self.count[at], self.sum[at], self.check[at]
+        return out
+
+    def folded(self, size: np.ndarray) -> Sketches:
+        """The same digests in tables of at most the same size."""
+        out = Sketches(size, self.seed)
+        own, less = self.size[self.home], out.size[self.home]
+        part, cell = np.divmod(np.arange(len(self.count)) - self.base[self.home], own)
+        at = out.base[self.home] + part * less + (cell & (less - 1))
+        np.add.at(out.count, at, self.count)
+        np.add.at(out.sum, at, self.sum)
+        np.add.at(out.check, at, self.check)
+        return out
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.size, self.seed)
+        out.count, out.sum = self.count - other.count, self.sum - other.sum
+        out.check = self.check - other.check
+        return out
+
+    def held(self) -> np.ndarray:
+        """How many digests each table holds."""
+        part = (np.arange(len(self.count)) - self.base[self.home]) // self.size[self.home]
+        return np.bincount(self.home, np.where(part == 0, self.count, 0), len(self.size)).astype(np.int64)
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Empty the tables as far as possible: (digest, owner, sign) of what was found."""
-        home = np.repeat(np.arange(len(self.cells)), self.cells)
         found = []
         while True:
             at = np.flatnonzero(np.abs(self.count) == 1)
             sign = self.count[at]
             keys = self.sum[at] * sign.astype(np.uint64)
             pure = _check(keys) * sign.astype(np.uint64) == self.check[at]
-            keys, owner, sign = keys[pure], home[at[pure]], sign[pure]
+            keys, owner, sign = keys[pure], self.home[at[pure]], sign[pure]
             if not len(keys):
                 break
-            _, first = np.unique(np.stack([owner.astype(np.uint64), keys]), axis=1, return_index=True)
-            keys, owner, sign = keys[first], owner[first], sign[first]
+            order = np.lexsort((keys, owner))
+            keys, owner, sign = keys[order], owner[order], sign[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            keys, owner, sign = keys[new], owner[new], sign[new]
             self.add(keys, owner, -sign)
             found.append((keys, owner, sign))
         if not found:
@@ -119,65 +151,108 @@ class Sketches:
     def emptied(self) -> np.ndarray:
         """Which tables hold nothing any more."""
         left = (self.count != 0) | (self.sum != 0) | (self.check != 0)
-        return np.add.reduceat(left.astype(np.int64), self.base) == 0
+        return np.bincount(self.home[left], minlength=len(self.size)) == 0
 
     def texts(self) -> list[str]:
         """Each table as a string."""
         table = np.zeros(len(self.count), _CELL)
         table["count"], table["sum"], table["check"] = self.count, self.sum, self.check
-        data, size = table.tobytes(), _CELL.itemsize
+        data, item = table.tobytes(), _CELL.itemsize
         return [
-            base64.b64encode(data[b * size : (b + c) * size]).decode()
-            for b, c in zip(self.base.tolist(), self.cells.tolist())
+            base64.b64encode(data[b * item : (b + PARTS * m) * item]).decode()
+            for b, m in zip(self.base.tolist(), self.size.tolist())
         ]
 
+    @classmethod
+    def of_texts(cls, prints: list[str]) -> Sketches:
+        """Tables from their strings."""
+        tables = [np.frombuffer(base64.b64decode(t), _CELL) for t in prints]
+        out = cls(np.array([len(t) // PARTS for t in tables], np.int64))
+        whole = np.concatenate([*tables, np.zeros(0, _CELL)])
+        out.count, out.sum, out.check = (
+            whole["count"].astype(np.int64), whole["sum"].astype(np.uint64), whole["check"].astype(np.uint64)
+        )
+        return out
+
+
+def sketched(keys: np.ndarray, owner: np.ndarray, tables: int) -> Sketches:
+    """The sketch of each set of digests, at the least size at which it can be peeled."""
+    held = np.bincount(owner, minlength=tables)
+    # Two cells per part for four digests: somewhat more than peeling needs in large tables.
+    size = 1 << np.ceil(np.log2(np.maximum(held / 2, 1))).astype(np.int64)
+    todo = np.arange(tables)
+    while len(todo):
+        number = np.full(tables, -1)
+        number[todo] = np.arange(len(todo))
+        mine = number[owner] >= 0
+        trial = Sketches(size[todo])
+        trial.add(keys[mine], number[owner[mine]], 1)
+        trial.peel()
+        todo = todo[~trial.emptied()]
+        size[todo] *= 2
+    out = Sketches(size)
+    out.add(keys, owner, 1)
+    return out
+
+
+def differences(one: Sketches, two: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All digests that the tables of each pair do not share: (digest, pair, sign).
+
+    The sign is 1 for those of the first table and -1 for those of the second.
+    """
+    least = np.minimum(one.size, two.size)
+    rest = one.folded(least).minus(two.folded(least))
+    keys, pair, sign = rest.peel()
+    done = rest.emptied()
+    found = [(keys[done[pair]], pair[done[pair]], sign[done[pair]])]
+    todo = np.flatnonzero(~done)
+    if not len(todo):
+        return found[0]
+    # Their own digests, from which larger sketches are made.
+    parts = []
+    for side, sketches in ((1, one), (-1, two)):
+        alone = sketches.chosen(todo)
+        keys, pair, _ = alone.peel()
+        if not alone.emptied().all():
+            raise ValueError("a sketch is too small for its own text")
+        parts.append((keys, pair, np.full(len(keys), side)))
+    keys, pair, sign = (np.concatenate(x) for x in zip(*parts))
+    size, left, seed = 2 * np.maximum(one.size, two.size)[todo], np.arange(len(todo)), 0
+    while len(left):
+        seed += 1
+        number = np.full(len(todo), -1)
+        number[left] = np.arange(len(left))
+        mine = number[pair] >= 0
+        larger = Sketches(size[left], seed)
+        larger.add(keys[mine], number[pair[mine]], sign[mine])
+        got, at, which = larger.peel()
+        done = larger.emptied()
+        found.append((got[done[at]], todo[left[at[done[at]]]], which[done[at]]))
+        left = left[~done]
+        size[left] *= 2
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def likeness(one: Sketches, two: Sketches) -> np.ndarray:
+    """Jaccard similarity of the digest sets behind each pair of tables."""
+    pairs = len(one.size)
+    _, pair, sign = differences(one, two)
+    only_one = np.bincount(pair[sign > 0], minlength=pairs)
+    only_two = np.bincount(pair[sign < 0], minlength=pairs)
+    held = one.held()
+    union = held + only_two
+    return np.where(union > 0, (held - only_one) / np.maximum(union, 1), 1.0)
+
 
 def fingerprints(texts: list[str]) -> list[str]:
     """The sketch of each text, as a string."""
-    sketches = Sketches(np.full(len(texts), CELLS))
-    sketches.add(*digests(texts), 1)
-    return sketches.texts()
-
-
-def differing(one: str, two: str) -> tuple[set[int], set[int]] | None:
-    """Digests only in the first and only in the second text, or None if peeling fails."""
-    tables = [np.frombuffer(base64.b64decode(t), _CELL) for t in (one, two)]
-    if len(tables[0]) != len(tables[1]):
-        raise ValueError("sketches of different size")
-    sketch = Sketches(np.array([len(tables[0])]))
-    for name in ("count", "sum", "check"):
-        kind = getattr(sketch, name).dtype
-        setattr(sketch, name, tables[0][name].astype(kind) - tables[1][name].astype(kind))
-    keys, _, sign = sketch.peel()
-    if not sketch.emptied()[0]:
-        return None
-    return set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())
+    return sketched(*digests(texts), len(texts)).texts()
 
 
-def likeness(a: np.ndarray, owner_a: np.ndarray, b: np.ndarray, owner_b: np.ndarray, pairs: int) -> np.ndarray:
-    """Jaccard similarity of the digest sets of each pair, by subtracting and peeling sketches."""
-    size_a, size_b = np.bincount(owner_a, minlength=pairs), np.bincount(owner_b, minlength=pairs)
-    only_a, only_b = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
-    # The sizes differ by no more than the digests do.
-    least = np.abs(size_a - size_b) * 3 // 2
-    cells = np.maximum(CELLS, least + (-least) % PARTS)
-    todo, seed = np.arange(pairs), 0
-    while len(todo):
-        number = np.full(pairs, -1)
-        number[todo] = np.arange(len(todo))
-        sketches = Sketches(cells[todo], seed)
-        for keys, owner, sign in ((a, owner_a, 1), (b, owner_b, -1)):
-            mine = number[owner] >= 0
-            sketches.add(keys[mine], number[owner[mine]], sign)
-        _, owner, sign = sketches.peel()
-        done = sketches.emptied()
-        plus = np.bincount(owner[sign > 0], minlength=len(todo))
-        minus = np.bincount(owner[sign < 0], minlength=len(todo))
-        only_a[todo[done]], only_b[todo[done]] = plus[done], minus[done]
-        cells[todo[~done]] *= GROWTH
-        todo, seed = todo[~done], seed + 1
-    union = size_a + only_b
-    return np.where(union > 0, (size_a - only_a) / np.maximum(union, 1), 1.0)
+def differing(one: str, two: str) -> tuple[set[int], set[int]]:
+    """Digests only in the first and only in the second text, from their fingerprints alone."""
+    keys, _, sign = differences(Sketches.of_texts([one]), Sketches.of_texts([two]))
+    return set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())
 
 
 SCHEMA = (
@@ -193,14 +268,10 @@ def _describe(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
         for own, following in zip(texts, texts[1:])
     ]
     count = len(edited)
-    keys, owner = digests(texts)
-    edited_keys, edited_owner = digests(edited)
-    mine, after = owner < count, owner > 0
-    near_edited = likeness(keys[mine], owner[mine], edited_keys, edited_owner, count)
-    near_next = likeness(keys[mine], owner[mine], keys[after], owner[after] - 1, count)
-    own, changed = Sketches(np.full(count, CELLS)), Sketches(np.full(count, CELLS))
-    own.add(keys[mine], owner[mine], 1)
-    changed.add(edited_keys, edited_owner, 1)
+    every = sketched(*digests(texts), len(texts))
+    own, after = every.chosen(np.arange(count)), every.chosen(np.arange(1, count + 1))
+    changed = sketched(*digests(edited), count)
+    near_edited, near_next = likeness(own, changed), likeness(own, after)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(doc_ids[:count], pa.int64()),
