@@ -2,9 +2,9 @@
 
 A document is the mean of the learned vectors of its hashed features: whole words and the
 character 3- to 5-grams of each word with its boundaries. Features are case-sensitive, as case
-is part of what quality means. The model is fitted on the driver from at most ``MAX_SAMPLE``
-labelled documents (those with the smallest hashed id, so any task finds the same ones); scoring
-then takes one table lookup per feature, as the mean of vectors times the softmax weights is the
+is part of what quality means. The model is fitted in one task from at most ``MAX_SAMPLE``
+labelled documents (those with the smallest hashed id, so any task finds the same ones) and only its
+table reaches the driver; scoring then takes one table lookup per feature, as the mean of vectors times the softmax weights is the
 mean of one number per bucket. Every whole text is scored.
 
 Defined cases: null and empty texts get the score of the prior (the bias alone); labels with
@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKET_BITS = 17
 DIM = 16
 MAX_SAMPLE = 4000
-SAMPLE_PARTS = 16
 EPOCHS = 6
 RATE = 1.0
 GRAMS = (3, 4, 5)
@@ -99,6 +98,9 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -50, 50)))
 
 
+FEATURES = "label int, buckets binary, counts binary"
+
+
 def _count_features(batches):
     """Labelled texts as (distinct buckets, counts), the input of training."""
     for batch in batches:
@@ -172,22 +174,31 @@ def fit(
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    # Fetched part by part, so that the driver never holds all rows beside the arrays.
-    rows = (
-        sample.select("label", "text")
-        .coalesce(SAMPLE_PARTS)
-        .mapInArrow(_count_features, "label int, buckets binary, counts binary")
-        .toLocalIterator()
-    )
+    features = sample.select("label", "text").mapInArrow(_count_features, FEATURES)
+    # One task of its own trains; it holds max_sample rows, and the driver gets the finished table.
+    row = features.repartition(1).mapInArrow(_train_in_task, "weights binary, bias double").first()
+    return QualityModel(np.frombuffer(row.weights, "<f4"), row.bias)
+
+
+def training_samples(batches) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Labelled features as arrays, in an order that does not depend on how rows arrive."""
     samples = []
-    for label, buckets, counts in rows:
-        key = label, zlib.crc32(buckets), zlib.crc32(counts)
-        counts = np.frombuffer(counts, "<u4")
-        least = counts.astype(np.min_scalar_type(counts.max(initial=0)))
-        samples.append((key, (label, np.frombuffer(buckets, "<u4"), least)))
-    # An order that does not depend on how rows arrive, without keys as large as the rows.
+    for batch in batches:
+        for label, buckets, counts in zip(*(column.to_pylist() for column in batch.columns)):
+            key = label, zlib.crc32(buckets), zlib.crc32(counts)
+            counts = np.frombuffer(counts, "<u4")
+            least = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+            samples.append((key, (label, np.frombuffer(buckets, "<u4"), least)))
     samples.sort(key=lambda s: s[0])
-    return train([s for _, s in samples])
+    return [s for _, s in samples]
+
+
+def _train_in_task(batches):
+    model = train(training_samples(batches))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.table.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])],
+        names=["weights", "bias"],
+    )
 
 
 def score_column(model: QualityModel, text: Column) -> Column:

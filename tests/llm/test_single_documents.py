@@ -8,6 +8,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -144,7 +145,8 @@ def test_likeness_is_the_jaccard_similarity_of_the_pieces():
     lines = [[brute.sentence(rng, 7) for _ in range(rng.randint(0, 80))] for _ in range(40)]
     changed = [[x for x in ls if rng.random() < 0.8] + [brute.sentence(rng, 7)] * rng.randint(0, 9) for ls in lines]
     one, two = (["\n".join(x) for x in side] for side in (lines, changed))
-    got = fingerprints.likeness(*fingerprints.digests(one), *fingerprints.digests(two), len(one))
+    made = [fingerprints.sketched(*fingerprints.digests(texts), len(texts)) for texts in (one, two)]
+    got = fingerprints.likeness(*made)
 
     def pieces(ls):
         return {(x, ls[:k].count(x)) for k, x in enumerate(ls)}
@@ -160,8 +162,41 @@ def test_peeling_gives_the_differing_digests():
     only_a, only_b = differing(*prints)
     keys = [set(fingerprints.digests([t])[0].tolist()) for t in (a, b)]
     assert (only_a, only_b) == (keys[0] - keys[1], keys[1] - keys[0])
-    many = fingerprints.fingerprints(["\n".join(map(str, range(900))), ""])
-    assert differing(*many) is None
+    many = fingerprints.fingerprints(["\n".join(map(str, range(900))), "", "7\nx", "\n".join(map(str, range(5, 905)))])
+    assert [len(found) for found in differing(many[0], many[1])] == [900, 0]
+    assert [len(found) for found in differing(many[2], many[0])] == [1, 899]
+    assert [len(found) for found in differing(many[0], many[3])] == [5, 5]
+    with pytest.raises(ValueError, match="too small"):
+        fingerprints.differing(fingerprints.Sketches(np.array([1])).texts()[0], _overfull())
+
+
+def _overfull():
+    """A table of three cells that holds ten digests."""
+    small = fingerprints.Sketches(np.array([1]))
+    small.add(*fingerprints.digests(["\n".join("abcdefghij")]), 1)
+    return small.texts()[0]
+
+
+def test_returned_fingerprints_tell_what_the_row_says(spark, table, corpus):
+    """The likeness of a row is that of its fingerprints, found without any text."""
+    rows = fingerprint_versions(table(corpus)).collect()
+    prints = {}
+    for r in rows:
+        prints.setdefault(r.doc_id, []).append(r.fingerprint)
+        pair = [fingerprints.Sketches.of_texts([t]) for t in (r.fingerprint, r.edited_fingerprint)]
+        assert fingerprints.likeness(*pair)[0] == r.near_edited
+    ids = sorted((i for i in prints if i is not None and len(prints[i]) == 1), reverse=True)
+    near = {r.doc_id: r.near_next for r in rows}
+    for a, b in zip(ids, ids[1:]):
+        if not any(b < i < a for i in prints if i is not None):
+            pair = [fingerprints.Sketches.of_texts(prints[i]) for i in (a, b)]
+            assert fingerprints.likeness(*pair)[0] == near[a]
+    by_text = {}
+    texts = {}
+    for i, t, *_ in corpus:
+        texts.setdefault(i, t or "")
+    for i in ids:
+        assert by_text.setdefault(texts[i], prints[i][0]) == prints[i][0]
 
 
 # --- licenses ---
@@ -264,14 +299,27 @@ def test_blocks_fold_white_space():
 def test_training_takes_all_of_four_thousand_labels(spark, table, monkeypatch):
     rows = [(k, f"word{k % 7} text{k}", "en", "web", 10) for k in range(5000)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(5000)], "doc_id bigint, quality int")
-    seen = []
-    monkeypatch.setattr(quality, "train", lambda samples: seen.extend(samples))
-    quality.fit(table(rows), labels)
+    # The task that trains says what it was given, in place of the model's table.
+    def given(batches):
+        labels = np.array([label for label, _, _ in quality.training_samples(batches)], "<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([labels.tobytes()]), pa.array([0.0])], names=["weights", "bias"])
+
+    monkeypatch.setattr(quality, "_train_in_task", given)
+    model = quality.fit(table(rows), labels)
+    seen = list(zip(model.table.astype(int).tolist()))
     usable = labels.filter(~quality.held_out(F.col("doc_id"))).count()
     assert len(seen) == usable > 2000
     assert [s[0] for s in seen] == sorted(s[0] for s in seen)
 
 
+def test_training_does_not_depend_on_how_rows_arrive(spark, table):
+    rows = [(k, f"word{k % 7} text{k % 31}", "en", "web", 10) for k in range(60)] + [(99, None, "en", "web", 0)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    one, two = (quality.fit(table(rows, parts), labels) for parts in (1, 5))
+    assert (one.table == two.table).all() and one.bias == two.bias and one.table.any()
+    assert quality.fit(table(rows), labels.filter("false")).scores(["a", ""]).tolist() == [0.5, 0.5]
+
+
 def test_training_looks_at_all_of_the_pages_that_tell_their_parts(spark, table, monkeypatch):
     table([])
     long = "<article>" + "<p>good text</p>" * 2100 + "</article><footer><p>the end</p></footer>"
