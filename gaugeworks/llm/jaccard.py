@@ -320,10 +320,11 @@ def near_duplicates(
     # shingle that two linked sets share stands early in both: ``early`` is how early any shared
     # shingle of a node stands, and of two linked nodes the smaller one has it in a short prefix.
     early = buckets.groupBy("gid").agg(F.min("pos").alias("early"))
-    sides = (
+    sides = settle(
         rooted.join(heads.select("grp", "gid"), "grp")
         .join(early, "gid")
-        .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band"))
+        .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band")),
+        "sides",
     )
     mixed = buckets.select("token", "gid").join(sides, "gid")
     short = mixed.filter(likeness.reached(F.col("n") - F.col("early"), 2 * F.col("n")))
@@ -337,12 +338,13 @@ def near_duplicates(
         *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early")),
     )
     kinds = larger.select("token", "band", "root_b").distinct()
-    meetings = (
+    meetings = settle(
         smaller.select("token", "root_a", "band_a")
         .distinct()
         .withColumn("band", F.explode(F.array("band_a", F.col("band_a") + 1)))
         .join(kinds, ["token", "band"])
-        .filter(F.col("root_a") != F.col("root_b"))
+        .filter(F.col("root_a") != F.col("root_b")),
+        "meetings",
     )
     sum_n = F.col("n_a") + F.col("n_b")
     first_ends = F.col("last_a") <= F.col("last_b")
@@ -368,8 +370,8 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("common"))
     )
     # Whichever prefix ends first: all its shingles that the other set holds are in ``common``.
-    possible = common.filter(
-        likeness.reached(F.col("common") + F.col("beyond"), F.col("sum_n"))
+    possible = settle(
+        common.filter(likeness.reached(F.col("common") + F.col("beyond"), F.col("sum_n"))), "possible"
     )
     more = _verified(texts, nodes, possible, likeness, width)
     final = components(links.union(more)).withColumnRenamed("node", "nid")
