@@ -1,7 +1,7 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are encoded once and put in order of the least name among their token pairs, so that
-texts sharing wording tend to be neighbours; the ordered table is cut into range partitions and
+Documents are encoded once and put in order of a name of the token pair that has the least hash of all
+their pairs, so that texts sharing wording tend to be neighbours whatever their lengths; the ordered table is cut into range partitions and
 these into shards of about ``SHARD_TOKENS`` ids. Each shard holds a BM25 inverted index over its
 documents' ids. A seed document opens a window, the unused documents that score best for all the
 seed's ids follow greedily, and the one that crosses the window's end is cut there and becomes
@@ -57,7 +57,8 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Dat
             for ids in coded:
                 found = np.frombuffer(ids, "<u2").astype(np.uint64)
                 pairs = mix(found[:-1] << np.uint64(16) | found[1:]) if len(found) > 1 else found
-                routes.append(int(pairs.min() >> np.uint64(1)))
+                # The least name alone would be smaller the longer the text; mixed again it is not.
+                routes.append(int(mix(pairs.min()[None])[0] >> np.uint64(1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -11,45 +10,60 @@ CACHE_WORDS = 500_000
 RUN_WORDS = 2000
 END_ID = 2
 
-# A word that ends in an ASCII letter and then punctuation other than apostrophes: the tokenizer's
-# own pattern always parts the two.
-_TAIL = re.compile(rb"(?s)(.*[a-z])([!-&(-/:-@\[-`{-~]+)")
+# Punctuation other than apostrophes: behind an ASCII letter at the end of a word, the tokenizer's
+# own pattern always parts it from the word.
+_TAIL = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 _MARK = b"0"
+# How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {chr(b): b for b in _PRINTABLE}
+_BYTES.update({chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))})
 _PLAIN_LIMIT = "\u0180"  # below it, letters need no composing and lower-case one by one
 
 
+def _token_bytes(token: str, suffix: str) -> bytes:
+    """The bytes a token stands for, with a zero byte for the end of a word."""
+    ends = token.endswith(suffix)
+    core = token.removesuffix(suffix) if ends else token
+    return bytes(_BYTES[c] for c in core) + (b"\0" if ends else b"")
+
+
 class WordEncoder:
     """Ids of a lower-casing word BPE whose tokens never span white space.
 
     Such a tokenizer encodes a text as the concatenation of its words' encodings, so each
-    different word is encoded once while the cache (at most ``CACHE_WORDS``, then cleared) lasts.
+    different word is encoded once while it is in the cache (at most ``CACHE_WORDS``).
     Ids are little-endian 16-bit numbers; the vocabulary must be smaller than 2**16.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
         self.cache: dict[bytes, bytes] = {}
+        self.last: set[bytes] = set()
         self.mark = self._ids(_MARK)
         if len(self.mark) != 1:
             raise ValueError("a digit must be a token of its own")
-        # The same model for words of plain letters, which need neither composing nor parting.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.WhitespaceSplit(),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
         suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        special = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, number in self.tokenizer.get_vocab().items():
+        ranks = {}
+        for token, number in vocabulary.items():
             self.ends_word[number] = token.endswith(suffix)
+            if token not in special:
+                ranks[_token_bytes(token, suffix)] = number
+        # The same merges for words of plain letters, which need neither composing nor parting, by a
+        # faster library. Ids rise in the order of the merges, so they serve as its ranks; the end
+        # of a word, which marks tokens of their own, is a byte that no such word holds.
+        self.plain = tiktoken.Encoding(
+            "words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}
+        )
 
     def _ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -59,29 +73,38 @@ class WordEncoder:
         # Only ASCII white space separates words here; other white space is left to the tokenizer.
         split = [text.lower().split() for text in texts]
         different = set().union(*split) if split else set()
-        new = [w for w in different if w not in self.cache]
+        new = different.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(different)
+            # Words of this call and the one before stay: the frequent ones are among them.
+            kept = (different | self.last).intersection(self.cache)
+            self.cache = {w: self.cache[w] for w in kept} if len(kept) + len(new) < CACHE_WORDS else {}
+            new = different.difference(self.cache)
         self._learn(new)
+        self.last = different
         known = self.cache.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         # ``bytes.isalpha`` knows ASCII letters only, which are lower-case here.
-        letters = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        parted = {w: m.groups() for w in rest if (m := _TAIL.fullmatch(w))}
-        parts = {p for pair in parted.values() for p in pair}
-        parts.update(w for w in rest if w not in parted)
-        parts.difference_update(letters)
-        unknown = [p for p in parts if p not in self.cache]
-        letters += [p for p in unknown if p.isalpha()]
-        self._encode_letters(letters, [w.decode("ascii") for w in letters])
+        cache, rest = self.cache, set()
+        parted, stems, tails = [], [], []  # bytes alone, which the garbage collector does not walk
+        letters = {w for w in words if w.isalpha()}
+        for word in words.difference(letters):
+            stem = word.rstrip(_TAIL)
+            if len(stem) < len(word) and b"a" <= stem[-1:] <= b"z":
+                tail = word[len(stem) :]
+                parted.append(word)
+                stems.append(stem)
+                tails.append(tail)
+                (letters if stem.isalpha() else rest).add(stem)
+                rest.add(tail)
+            else:
+                rest.add(word)
+        letters.difference_update(cache)
+        plain = list(letters)
+        self._encode_letters(plain, [w.decode("ascii") for w in plain])
         accented, marked, others = [], [], []
-        for part in unknown:
-            if part.isalpha():
-                continue
+        for part in rest.difference(cache):
             word = part.decode("utf-8", "replace")
             if word.isalpha() and max(word) < _PLAIN_LIMIT and "\u0130" not in word:
                 accented.append((part, word.lower()))
@@ -96,14 +119,14 @@ class WordEncoder:
             ids = np.array(self._ids((b" " + _MARK + b" ").join(run)), "<u2")
             marks = np.flatnonzero(ids == self.mark[0])
             self._store(run, ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
-        for word, (stem, tail) in parted.items():
-            self.cache[word] = self.cache[stem] + self.cache[tail]
+        for word, stem, tail in zip(parted, stems, tails):
+            cache[word] = cache[stem] + cache[tail]
 
     def _encode_letters(self, keys, words) -> None:
         """Words of plain letters, told apart by the suffix of each word's last token."""
         for start in range(0, len(keys), RUN_WORDS):
-            text = " ".join(words[start : start + RUN_WORDS])
-            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u2")
+            text = "".join(f"{word}\0" for word in words[start : start + RUN_WORDS])
+            ids = np.array(self.plain.encode_ordinary(text), "<u2")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             self._store(keys[start : start + RUN_WORDS], ids, [0, *ends[:-1]], ends)
 
