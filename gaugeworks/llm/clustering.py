@@ -49,7 +49,7 @@ CLUSTERS = 8
 ROUNDS = 10
 SEED = 3
 BLOCK_ROWS = 4096
-BUCKET_BLOCKS = 32
+BUCKET_BLOCKS = 4
 MAX_BUCKETS = 50_000  # below Spark's own limit
 LARGEST = 2**60
 MAX_LONG = 2**63 - 1
