@@ -51,7 +51,7 @@ def test_registered():
     names = entry_point.queries()
     assert names["pipeline"] is corpus_pipeline.run
     assert set(queries.QUERIES) < set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", queries.QUERIES)
