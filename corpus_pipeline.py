@@ -73,19 +73,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = settle(
         mix_documents(docs).select(
             F.col("doc_id").alias("mixed_id"),
-            F.col("size").alias("mixed_size"),
             F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int"))
             .otherwise(0)
             .alias("times"),
         ),
         "mixed",
     )
-    times = mixed.filter("times > 0").groupBy("mixed_id").agg(F.max("times").alias("times"))
-    return (
-        docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
-        .withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select(*(docs[c] for c in docs.columns))
+    times = mixed.filter("times > 0").groupBy("mixed_id").agg(
+        F.sequence(F.lit(1), F.max("times")).alias("each_time")
     )
+    # Columns are named by their table, as documents may have any columns.
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"])).select(
+        *(docs[c] for c in docs.columns), F.explode(times["each_time"]).alias("__mixed_time")
+    ).drop("__mixed_time")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
