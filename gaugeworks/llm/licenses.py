@@ -1,9 +1,10 @@
 """License scans: an automaton finds tags and notice phrases, expressions are evaluated.
 
 Texts are lower-cased (A-Z only) and reduced to words of letters, digits and non-ASCII
-characters. One Aho-Corasick automaton over the words finds all phrases, overlapping ones included.
-After an identifier tag, the rest of its line is parsed as a license expression by the
-shunting-yard method (``with`` binds tighter than ``and``, ``and`` tighter than ``or``) and evaluated:
+characters. One Aho-Corasick automaton over the words finds all phrases, overlapping ones included,
+and another one over the text finds identifier tags. Behind a tag, on its line, the longest well-formed
+expression of known identifiers is taken, so that a comment's end or prose behind it is no part of
+it. It is parsed by the shunting-yard method (``with`` binds tighter than ``and``, ``and`` tighter than ``or``) and evaluated:
 an ``or`` is as permissive as its best side, an ``and`` as its worst, and an exception lifts its
 license half of the way to free use.
 
@@ -11,8 +12,8 @@ license half of the way to free use.
 of what each different label leaves open.
 
 Defined cases: a null text is empty; texts without words or phrases have no labels, empty strings
-and score 0; a malformed expression still gives the labels of its identifiers but no value; repeated
-rows are scanned alike; a null id is kept; extra columns are ignored; an empty table gives no
+and score 0; a tag without a known identifier on its line gives no label and no value; very long
+lines are read once; repeated rows are scanned alike; a null id is kept; extra columns are ignored; an empty table gives no
 rows.
 """
 
@@ -65,27 +66,37 @@ PHRASES = {
 FREEDOM = {
     "agpl": 0.2,
     "apache": 0.9,
+    "artistic": 0.7,
     "bsd": 0.9,
+    "bsl": 0.9,
     "cc-by": 0.8,
     "cc-by-nc": 0.3,
     "cc-by-nd": 0.3,
     "cc-by-sa": 0.6,
     "cc0": 1.0,
     "epl": 0.6,
+    "eupl": 0.5,
+    "gfdl": 0.4,
     "gpl": 0.3,
     "isc": 0.9,
     "lgpl": 0.5,
     "mit": 0.9,
     "mpl": 0.6,
+    "public-domain": 1.0,
     "reserved": 0.0,
     "unlicense": 1.0,
+    "zlib": 0.9,
 }
 
-TAG = "spdx license identifier"
+# Fixed value: the identifier tag, as it stands in a text and as words.
+TAG = "spdx-license-identifier"
+TAG_WORDS = "spdx license identifier"
 PHRASE_EVIDENCE, TAG_EVIDENCE = 0.7, 0.95
 
-_TAGGED = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n]*)", re.I)
+_BEHIND_TAG = re.compile(r"[ \t]*:?")
+_ON_LINE = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 _BINDING = {"or": 1, "and": 2, "with": 3}
 _TO_WORDS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -103,12 +114,23 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for phrase in {**BASE_PHRASES, **PHRASES, TAG: None}:
+    for phrase in {**BASE_PHRASES, **PHRASES, TAG_WORDS: None}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
 
 
+@lru_cache(maxsize=1)
+def tag_automaton():
+    """The automaton that finds identifier tags in lower-cased text."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    found.add_word(TAG, TAG)
+    found.make_automaton()
+    return found
+
+
 def places(words: list[bytes]) -> list[tuple[int, str]]:
     """(word, phrase) of every place where a phrase's words stand consecutively, in order."""
     line = b" " + b" ".join(words) + b" "
@@ -162,9 +184,50 @@ def postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def _family(identifier: str) -> str | None:
+    """The longest known name an identifier is or starts with, as in ``gpl`` of ``gpl-2.0-only``."""
+    known = [n for n in FREEDOM if identifier == n or re.match(rf"{re.escape(n)}[-+0-9]", identifier)]
+    return max(known, key=len, default=None)
+
+
 def _freedom(identifier: str) -> float:
-    known = [name for name in FREEDOM if identifier.startswith(name)]
-    return FREEDOM[max(known, key=len)] if known else 0.5
+    return FREEDOM.get(_family(identifier), 0.5)
+
+
+def expression_at(text: str, at: int) -> str:
+    """The longest well-formed expression of known identifiers from a place on, on its line."""
+    start = best = at = _BEHIND_TAG.match(text, at).end()
+    depth, operand_next, before = 0, True, ""
+    while token := _ON_LINE.match(text, at):
+        name = token[1].rstrip(".:-").lower() or token[1]
+        if name == "(":
+            if not operand_next or before == "with":
+                break
+            depth += 1
+        elif name == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif name in _BINDING:
+            if operand_next:
+                break
+            operand_next = True
+        elif operand_next and ("exception" in name if before == "with" else _family(name)):
+            operand_next = False
+        else:
+            break
+        at = token.start(1) + len(name)
+        before = name
+        if not operand_next and not depth:
+            best = at
+    return text[start:best].strip()
+
+
+def tagged(text: str) -> list[str]:
+    """The expressions behind all identifier tags of a text."""
+    lowered = text.translate(_LOWER)
+    found = (expression_at(text, end + 1) for end, _ in tag_automaton().iter(lowered))
+    return [expression for expression in found if expression]
 
 
 def evaluate(expression: str) -> float | None:
@@ -214,10 +277,9 @@ def scan_text(text: str) -> tuple:
         if label:
             evidence[label] = PHRASE_EVIDENCE
     values = []
-    if any(phrase == TAG for _, phrase in found):
-        for expression in _TAGGED.findall(text):
-            value = evaluate(expression)
-            values += [] if value is None else [value]
+    if any(phrase == TAG_WORDS for _, phrase in found):
+        for expression in tagged(text):
+            values.append(evaluate(expression))
             evidence.update(dict.fromkeys(identifiers(expression), TAG_EVIDENCE))
     open_ = 1.0
     for weight in evidence.values():

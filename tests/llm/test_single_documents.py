@@ -237,6 +237,24 @@ def test_expressions(text, order):
     assert postfix(text) == order
 
 
+@pytest.mark.parametrize("line,expression", [
+    (": MIT */", "MIT"), (" MIT this file is part of", "MIT"), (": (MIT OR Apache-2.0) AND BSD-3-Clause -->", "(MIT OR Apache-2.0) AND BSD-3-Clause"),
+    (":\nMIT is here", ""), ("", ""), (": see below", ""), (": MIT OR", "MIT"), (": (MIT", ""), (": MIT.", "MIT"),
+    (": GPL-2.0-only WITH Classpath-exception-2.0;", "GPL-2.0-only WITH Classpath-exception-2.0"), (": GPL-2.0 WITH care", "GPL-2.0"),
+    ("\t:\tmit\r\nor gpl", "mit"), (": mitigation", ""), (": MIT) OR GPL", "MIT"), (": Foo-1.0 OR MIT", ""),
+])
+def test_expressions_behind_tags(line, expression):
+    text = f"// SPDX-License-Identifier{line}"
+    assert licenses.tagged(text) == ([expression] if expression else [])
+    assert not expression or evaluate(expression) is not None
+
+
+def test_very_long_lines_behind_tags():
+    text = "SPDX-License-Identifier: " + "MIT OR " * 100_000 + "MIT" + " (" * 100_000
+    assert len(licenses.tagged(text)[0]) == 700_003
+    assert licenses.scan_text(text * 2)[5] == "mit"
+
+
 def test_values_of_expressions():
     assert evaluate("mit or gpl-3.0") == 0.9 and evaluate("mit and gpl-3.0") == 0.3
     assert evaluate("gpl-3.0 with y") == pytest.approx(0.65) and evaluate("mit or") is None
