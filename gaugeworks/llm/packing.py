@@ -44,30 +44,32 @@ PIECES = (
 )
 
 
+def routes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The routing name of each text, whose ids (with the end id) end at ``ends``."""
+    found = ids.astype(np.uint64)
+    pairs = mix(found << np.uint64(16) | np.append(found[1:], 0).astype(np.uint64))
+    starts = np.concatenate([[0], ends[:-1]])
+    pairs[ends - 1] = np.uint64(2**64 - 1)  # the last id of a text has no partner
+    least = np.minimum.reduceat(pairs, starts) if len(ends) else pairs
+    # The least name alone would be smaller the longer the text; mixed again it is not.
+    return (mix(least) >> np.uint64(1)).astype(np.int64)
+
+
 def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (16-bit, with the end id), their number and the routing name of each row."""
 
     def encode(batches):
         encoder = word_encoder(vocabulary)
         for batch in slices(batches, "text"):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            end = END_ID.to_bytes(2, "little")
-            coded = [ids + end for ids in encoder.encode(texts)]
-            routes = []
-            for ids in coded:
-                found = np.frombuffer(ids, "<u2").astype(np.uint64)
-                pairs = mix(found[:-1] << np.uint64(16) | found[1:]) if len(found) > 1 else found
-                # The least name alone would be smaller the longer the text; mixed again it is not.
-                routes.append(int(mix(pairs.min()[None])[0] >> np.uint64(1)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(coded, pa.binary()),
-                    pa.array([len(c) // 2 for c in coded], pa.int64()),
-                    pa.array(routes, pa.int64()),
-                ],
-                names=["doc_id", "ids", "tokens", "route"],
-            )
+            ids, first = encoder.encode_column(batch.column("text"))
+            sizes = np.diff(first) + 1
+            whole = np.insert(ids, first[1:], END_ID)  # the end id behind each text
+            ends = np.cumsum(sizes)
+            data = pa.py_buffer(whole.astype("<u2").tobytes())
+            offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), data])
+            columns = [batch.column("doc_id"), coded, pa.array(sizes), pa.array(routes(whole, ends))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "tokens", "route"])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(encode, "doc_id bigint, ids binary, tokens bigint, route bigint")

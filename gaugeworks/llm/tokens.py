@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from gaugeworks.llm.hashing import Words
 
 CACHE_WORDS = 500_000
 RUN_WORDS = 2000
@@ -32,7 +35,8 @@ class WordEncoder:
     """Ids of a lower-casing word BPE whose tokens never span white space.
 
     Such a tokenizer encodes a text as the concatenation of its words' encodings, so each
-    different word is encoded once while it is in the cache (at most ``CACHE_WORDS``).
+    different word is encoded once while it is in a table (of about ``CACHE_WORDS``, or of the words
+    of one call). Words are looked up by 64-bit names, all words of a call at once.
     Ids are little-endian 16-bit numbers; the vocabulary must be smaller than 2**16.
     """
 
@@ -44,8 +48,11 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
+        # The known words by name, ascending: where their ids begin in ``flat``, and how many.
+        self.names = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u2")
         self.cache: dict[bytes, bytes] = {}
-        self.last: set[bytes] = set()
         self.mark = self._ids(_MARK)
         if len(self.mark) != 1:
             raise ValueError("a digit must be a token of its own")
@@ -70,19 +77,55 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """16-bit ids of each UTF-8 text."""
+        ids, first = self.encode_column(pa.array(texts, pa.binary()))
+        return [part.tobytes() for part in np.split(ids, first[1:-1])] if texts else []
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end; those of text ``d`` are ``ids[first[d]:first[d + 1]]``."""
         # Only ASCII white space separates words here; other white space is left to the tokenizer.
-        split = [text.lower().split() for text in texts]
-        different = set().union(*split) if split else set()
-        new = different.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            # Words of this call and the one before stay: the frequent ones are among them.
-            kept = (different | self.last).intersection(self.cache)
-            self.cache = {w: self.cache[w] for w in kept} if len(kept) + len(new) < CACHE_WORDS else {}
-            new = different.difference(self.cache)
-        self._learn(new)
-        self.last = different
-        known = self.cache.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        words = Words(column, lower=True)
+        different, example, which = np.unique(words.name, return_index=True, return_inverse=True)
+        row = self._rows(different)
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            data, at = words.data.tobytes(), example[missing]
+            places = zip(words.start[at].tolist(), words.end[at].tolist())
+            self._remember(different[missing], [data[start:end] for start, end in places], different)
+            row = self._rows(different)
+        size, begin = self.size[row][which], self.begin[row][which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        return ids, ends[words.first]
+
+    def _rows(self, names: np.ndarray) -> np.ndarray:
+        """The rows of words in the table, -1 for those that are not in it."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        row = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[row] == names, row, -1)
+
+    def _remember(self, names: np.ndarray, words: list[bytes], needed: np.ndarray) -> None:
+        """Add words to the table; when it is full, only those that are ``needed`` now stay."""
+        if len(self.names) + len(names) > CACHE_WORDS:
+            kept = self._rows(needed)
+            self._keep(kept[kept >= 0])
+        if len(self.cache) > CACHE_WORDS // 4:
+            self.cache.clear()  # only the parts of words that several words share
+        self._learn(set(words))
+        learned = [self.cache[word] for word in words]
+        size = np.array([len(ids) // 2 for ids in learned], np.int64)
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(learned), "<u2")])
+        order = np.argsort(np.concatenate([self.names, names]), kind="stable")
+        self.names = np.concatenate([self.names, names])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+
+    def _keep(self, rows: np.ndarray) -> None:
+        size, begin = self.size[rows], self.begin[rows]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(begin - (ends - size), size)]
+        self.names, self.size, self.begin = self.names[rows], size, ends - size
 
     def _learn(self, words: set[bytes]) -> None:
         # ``bytes.isalpha`` knows ASCII letters only, which are lower-case here.
