@@ -40,7 +40,7 @@ def match_arrivals(
         F.timestamp_millis(arrival_col).alias(_ARRIVAL_TIME),
     )
     if results.isStreaming:
-        timed = timed.withWatermark(_RESULT_TIME, delay)
+        timed = timed.filter(F.col(_RESULT_TIME).isNotNull()).withWatermark(_RESULT_TIME, delay)
     if arrivals.isStreaming:
         came = came.withWatermark(_ARRIVAL_TIME, delay)
     met = (F.col(_ARRIVAL_TIME) >= F.col(_RESULT_TIME)) & (
@@ -58,15 +58,18 @@ def match_arrivals(
 
 
 def open_results(
-    spark: SparkSession, checkpoint: str, written: DataFrame, keys: Sequence[str] = LATENCY_KEYS
+    spark: SparkSession,
+    checkpoint: str,
+    written: DataFrame,
+    keys: Sequence[str] = LATENCY_KEYS,
+    operator: int = 0,
 ) -> DataFrame:
     """Results of a stopped ``match_arrivals`` stream that wait for an arrival, with null latency.
 
     ``written`` is what the stream has given; with these rows it completes a bounded input.
+    ``operator`` is the number of the join among the query's stateful operators.
     """
-    state = (
-        spark.read.format("statestore").option("operatorId", 0).option("joinSide", "left").load(checkpoint)
-    )
+    state = spark.read.format("statestore").options(operatorId=operator, joinSide="left").load(checkpoint)
     waiting = state.select("value.*")
     rest = [c for c in written.columns if c not in ("event_ts_ms", "ingestion_ts_ms", "latency_ms")]
     none = F.lit(None).cast("bigint")
