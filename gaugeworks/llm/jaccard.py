@@ -39,6 +39,8 @@ WIDTH, SIMILARITY = 5, Fraction(4, 5)
 # Shingles in more than this share of a batch's documents are candidates for the end of the order.
 FREQUENT_SHARE = 0.004
 # The list is an ordering hint of fixed size, not a filter: results do not depend on it.
+# Heads that share a shingle are a crowd from so many on, and then meet so many of them.
+CROWD, CROWD_CENTRES = 32, 8
 MAX_FREQUENT = 1 << 16
 
 @dataclass(frozen=True)
@@ -306,7 +308,22 @@ def near_duplicates(
         .agg(F.max(F.struct("common", "a")).alias("best"))
         .select(F.col("best.a").alias("a"), "b")
     )
-    star = within.filter(F.col("a") != F.col("b")).union(likely).distinct()
+    # Where many heads share a shingle, most are alike, but not each to the one it met. They also
+    # meet a few others, the same ones for all shingles of a group, so that few components are
+    # left for the second comparison.
+    few = [F.min(F.struct(F.xxhash64("gid", F.lit(k)), "gid", "n")) for k in range(CROWD_CENTRES)]
+    crowds = (
+        placed.groupBy("token", "band")
+        .agg(F.count(F.lit(1)).alias("holders"), F.array(*few).alias("few"))
+        .filter(F.col("holders") >= CROWD)
+        .select("token", "band", F.explode(F.array_distinct("few.gid")).alias("a"))
+    )
+    crowded = (
+        placed.join(crowds, ["token", "band"])
+        .filter(F.col("a") != F.col("gid"))
+        .select("a", F.col("gid").alias("b"))
+    )
+    star = within.filter(F.col("a") != F.col("b")).union(likely).union(crowded).distinct()
     links = _verified(texts, nodes, star, likeness, width)
     found = components(links).withColumnRenamed("node", "nid")
     rooted = settle(
@@ -326,16 +343,16 @@ def near_duplicates(
         .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band")),
         "sides",
     )
-    mixed = buckets.select("token", "gid").join(sides, "gid")
+    mixed = buckets.select("token", "gid", "pos").join(sides, "gid")
     short = mixed.filter(likeness.reached(F.col("n") - F.col("early"), 2 * F.col("n")))
     smaller = short.select(
         "token",
-        *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "band")),
+        *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "pos", "band")),
     )
     larger = mixed.select(
         "token",
         "band",
-        *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early")),
+        *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early", "pos")),
     )
     kinds = larger.select("token", "band", "root_b").distinct()
     meetings = settle(
@@ -347,6 +364,9 @@ def near_duplicates(
         "meetings",
     )
     sum_n = F.col("n_a") + F.col("n_b")
+    # What two sets can share when one shingle stands at these places of both.
+    behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    around = F.least("pos_a", "pos_b") + behind
     first_ends = F.col("last_a") <= F.col("last_b")
     common = (
         meetings.join(smaller, ["token", "root_a", "band_a"])
@@ -359,6 +379,7 @@ def near_duplicates(
             )
             & likeness.reached(F.col("n_a") - F.col("early_a"), sum_n)
             & likeness.reached(F.col("n_b") - F.col("early_b"), sum_n)
+            & likeness.reached(around, sum_n)
         )
         .select(
             F.col("nid_a").alias("a"),
