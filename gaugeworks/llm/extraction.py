@@ -3,7 +3,7 @@
 Every element gets the log-odds that it belongs to the article, from features of its own and its
 subtree's text density, attribute words, depth and siblings. An element counts as kept only inside
 kept ancestors; the set of kept elements is the one of highest total log-odds under that rule, so no
-choice contradicts another. The trees are fitted on the driver, on generated layouts whose parts
+choice contradicts another. The trees are grown in one task, on generated layouts whose parts
 are known and on at most ``MAX_PAGES`` pages whose own article or main element tells the parts.
 
 Defined cases: a null page is empty; a page without main text gives the empty string; broken
@@ -227,21 +227,49 @@ def _told_column(html: Column) -> Column:
     return tells(html)
 
 
-def fit(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES) -> Boosted:
-    """Trees from generated pages and at most ``max_pages`` pages of the table that tell their parts.
+def told_samples(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES) -> DataFrame:
+    """Features and labels of all elements of at most ``max_pages`` pages that tell their parts.
 
-    All elements of these pages count. Only pages with such a tag somewhere are parsed to choose.
+    Only pages with such a tag somewhere are parsed to choose.
     """
-    made_rows, made_labels = made_samples(MADE_PAGES)
     source = F.col(html_col).alias("html")
     chosen = pages.select(source, F.xxhash64(html_col).alias("hash")).dropna()
     chosen = chosen.filter(F.col("html").rlike("(?i)<(article|main)")).filter(_told_column(F.col("html")))
     told = chosen.orderBy("hash", "html").limit(max_pages).select("html")
-    found = told.mapInArrow(_told_samples, "rows binary, labels binary").collect()
-    found.sort(key=lambda r: (bytes(r["rows"]), bytes(r["labels"])))
-    rows = [np.frombuffer(r["rows"], "<f4").reshape(-1, FEATURES) for r in found]
-    labels = [np.frombuffer(r["labels"], "u1").astype(float) for r in found]
-    return boost(np.concatenate([made_rows, *rows]), np.concatenate([made_labels, *labels]))
+    return told.mapInArrow(_told_samples, "rows binary, labels binary")
+
+
+def read_samples(batches) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``told_samples`` as arrays, in an order that does not depend on how they arrive."""
+    found = sorted(pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns)))
+    rows = [np.frombuffer(r, "<f4").reshape(-1, FEATURES) for r, _ in found]
+    labels = [np.frombuffer(m, "u1").astype(float) for _, m in found]
+    return np.concatenate([np.zeros((0, FEATURES)), *rows]), np.concatenate([np.zeros(0), *labels])
+
+
+_FIELDS = (("column", "<i8"), ("above", "<f8"), ("leaf", "<f8"))
+
+
+def fit(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES) -> Boosted:
+    """Trees from generated pages and from ``told_samples``, grown in one task.
+
+    The task holds the elements of ``max_pages`` pages; only the trees reach the driver.
+    """
+    made_rows, made_labels = made_samples(MADE_PAGES)
+
+    def grow(batches):
+        rows, labels = read_samples(batches)
+        model = boost(np.concatenate([made_rows, rows]), np.concatenate([made_labels, labels]))
+        parts = [np.ascontiguousarray(getattr(model, name), kind).tobytes() for name, kind in _FIELDS]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([part], pa.binary()) for part in parts), pa.array([len(model.column)]), pa.array([model.base])],
+            names=[*(name for name, _ in _FIELDS), "trees", "base"],
+        )
+
+    schema = "column binary, above binary, leaf binary, trees bigint, base double"
+    row = told_samples(pages, html_col, max_pages).repartition(1).mapInArrow(grow, schema).first()
+    parts = (np.frombuffer(row[name], kind).reshape(row.trees, -1) for name, kind in _FIELDS)
+    return Boosted(*parts, row.base)
 
 
 def extract_text(model: Boosted, sources: list[str]) -> list[str]:

@@ -14,7 +14,8 @@ travel packed by bucket of their high bits. Each slice of documents sends a name
 least and greatest id, and further ids apart, so that a name that every document holds stays
 small in the task that decides about it.
 
-Repeats are judged by 64-bit names of 13-word windows below a 64-bit anchor.
+Repeats are judged by 64-bit names of windows whose anchors repeat; words are not compared. Among m
+such windows about m^2 / 2^65 pairs of different ones share a name.
 
 Defined cases: a null text has no words; a null id counts as larger than any other and
 is returned as null; rows of one id never remove each other's words; repeated rows are treated

@@ -2,6 +2,7 @@
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
@@ -58,3 +59,45 @@ def test_registered():
 def test_queries_run(spark, name):
     got = queries.QUERIES[name](spark, TABLES)
     assert got.count() > 0
+
+
+EXTRA = "times mixed_id each_time kept_id n_words kept n_removed component_id n_shingles label score".split()
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, table, corpus, tmp_path_factory):
+    """Null, empty, long and repeated rows under extra columns named like the stages' own, and labels."""
+    folder = str(tmp_path_factory.mktemp("awkward"))
+    marks = [(i, k % 2, 0) for k, (i, *_) in enumerate(corpus)] + [(None, 1, 0), (5, None, 0)]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return table(corpus).withColumns({name: F.lit(7) for name in EXTRA}), folder
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_awkward_rows(spark, corpus, awkward, name, stage):
+    docs, folder = awkward
+    got = stage(spark, docs, folder).collect()
+    known = {(r[0], r[1]) for r in corpus}
+    if name != "packing":
+        assert stage(spark, docs, folder).columns == docs.columns
+        assert all(r["times"] == 7 and r["row"] == -1 for r in got)
+    if name in ("quality", "near_duplicates"):
+        assert {(r.doc_id, r.text) for r in got} <= known
+    if name == "near_duplicates":
+        assert {r.doc_id for r in got if r.text is None or not r.text.split()} >= {2, 3, 4}
+    if name == "repeats":
+        assert len(got) == len(corpus)
+        assert [r.text for r in got if r.doc_id == 2] == [""]  # a null text
+    if name == "mixing":
+        assert {(r.doc_id, r.text) for r in got} <= known
+        assert not any(r.text is None or not r.text.split() for r in got)
+    if name == "packing":
+        pieces = sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.start == 0)
+        assert pieces == sorted((i is None, i or 0) for i, *_ in corpus)
+    assert got or name == "quality"  # the labels here say nothing about the texts
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables(spark, awkward, name, stage):
+    docs, folder = awkward
+    assert stage(spark, docs.filter("false"), folder).collect() == []

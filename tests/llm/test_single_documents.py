@@ -338,16 +338,14 @@ def test_training_does_not_depend_on_how_rows_arrive(spark, table):
     assert quality.fit(table(rows), labels.filter("false")).scores(["a", ""]).tolist() == [0.5, 0.5]
 
 
-def test_training_looks_at_all_of_the_pages_that_tell_their_parts(spark, table, monkeypatch):
+def test_training_looks_at_all_of_the_pages_that_tell_their_parts(spark, table):
     table([])
     long = "<article>" + "<p>good text</p>" * 2100 + "</article><footer><p>the end</p></footer>"
     pages = [f"<div><p>plain {k}</p></div>" for k in range(60)] + [f"<p><!--<main>--> {k}</p>" for k in range(20)]
     pages += [f"<MAIN><p>one {k}</p></MAIN><nav><p>menu</p></nav>" for k in range(3)] + [long]
     frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
-    made = extraction.made_samples(3)
-    monkeypatch.setattr(extraction, "made_samples", lambda count: made)
-    monkeypatch.setattr(extraction, "boost", lambda rows, labels: (rows, labels))
-    rows, labels = extraction.fit(frame, max_pages=4)
+    found = extraction.told_samples(frame, max_pages=4).toArrow().to_batches()
+    rows, labels = extraction.read_samples(found)
     wanted = []
     for source in pages[-4:]:
         page = extraction.parse(source)
@@ -355,5 +353,18 @@ def test_training_looks_at_all_of_the_pages_that_tell_their_parts(spark, table,
         wanted.append(good[used])
     wanted = np.concatenate(wanted)
     assert len(wanted) > 2100
-    assert len(rows) == len(labels) == len(made[1]) + len(wanted)
-    assert labels.sum() == made[1].sum() + wanted.sum()
+    assert len(rows) == len(labels) == len(wanted)
+    assert labels.sum() == wanted.sum()
+
+
+def test_trees_grown_in_a_task_are_those_grown_here(spark, table, monkeypatch):
+    table([])
+    pages = [f"<main><p>one {k}</p></main><nav><p>menu</p></nav>" for k in range(5)]
+    frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(pages)], "page_id bigint, url string, html string")
+    made = extraction.made_samples(3)
+    monkeypatch.setattr(extraction, "made_samples", lambda count: made)
+    rows, labels = extraction.read_samples(extraction.told_samples(frame).toArrow().to_batches())
+    wanted = extraction.boost(np.concatenate([made[0], rows]), np.concatenate([made[1], labels]))
+    got = extraction.fit(frame.repartition(3))
+    assert (got.column == wanted.column).all() and (got.above == wanted.above).all()
+    assert (got.leaf == wanted.leaf).all() and got.base == wanted.base
