@@ -51,7 +51,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages an earlier document holds; untouched texts stay as they are."""
+    """Texts without the passages an earlier document holds; untouched texts stay as they are.
+
+    A null text is given as the empty one.
+    """
     ship_package(spark)
     cut = remove_repeats(docs, verbatim=True)
     lost = F.col("n_removed") > 0
