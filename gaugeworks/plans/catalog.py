@@ -16,7 +16,7 @@ from gaugeworks.operators.parsing import parse_readings
 from gaugeworks.operators.scans import number_rows
 from gaugeworks.plans import jobs
 from gaugeworks.schemas import STAMP, layout
-from gaugeworks.session import forget, scratch_path, settle
+from gaugeworks.session import forget, rocksdb_state, scratch_path, settle
 from gaugeworks.sinks.lines import line_sink, print_sink
 from gaugeworks.sinks.published import read_published, use_published
 from gaugeworks.sources.event_lines import event_lines, header_text, line_text, load_events
@@ -420,7 +420,8 @@ def stream_trailing_watermark(spark: SparkSession, sf: str) -> DataFrame:
         if number % (WATERMARK_PARTS // 2) == WATERMARK_PARTS // 2 - 1:
             stream = spark.readStream.schema(batches.schema).option("maxFilesPerTrigger", 1).parquet(source)
             windows = trailing_windows_stream(stream, ["station"], WATERMARK_HORIZON_MS)
-            run_available(windows, sink, state)
+            with rocksdb_state(spark):
+                run_available(windows, sink, state)
     return spark.read.parquet(sink).select("station", "batch_id", "arrival_ms", "after_batch_id")
 
 

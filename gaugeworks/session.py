@@ -10,6 +10,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 RECOMMENDED = {
@@ -19,7 +20,7 @@ RECOMMENDED = {
     # Many small batch ids per task: keep collect_list in the hash aggregate.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # Window state for many sensors belongs off-heap and on disk.
-    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE,
+    STATE_PROVIDER: ROCKSDB_STATE,
 }
 
 
@@ -76,6 +77,20 @@ def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
         _delete(spark, path)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, whatever the session is set to.
+
+    A stream takes the setting when it starts and keeps it over restarts.
+    """
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB_STATE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_PROVIDER, before) if before else spark.conf.unset(STATE_PROVIDER)
+
+
 # Shuffle files go when their query ends, not when the driver happens to collect garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
