@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from gaugeworks.operators.trailing import DAY_MS, add_bounds, newest_per_tag
 from gaugeworks.session import forget, settle
-from gaugeworks.shipping import ship_package
 from gaugeworks.streaming.steps import StepState, each_step
 
 
@@ -55,67 +54,76 @@ def trailing_bounds_stream(
     return each_step(batches, step, checkpoint, **trigger)
 
 
-class TrailingWindows(StatefulProcessor):
-    """Per key the tags still in the horizon, each with the newest batch that carries it.
+def trailing_processor(keys: Sequence[str], horizon_ms: int) -> StatefulProcessor:
+    """The state of trailing windows, in a class that travels by value.
 
-    The tag is the watermark that the engine holds when a batch arrives. All batches of one
-    micro-batch share it, so a key has at most one entry per micro-batch of the horizon, however
-    many batches it sends. A timer removes an entry when the watermark is a horizon past it; of
-    what was removed only the newest batch id is kept, one number per key.
+    A class of a module travels by name, and the worker that checks the state's schema on the driver
+    does not know the package, whatever is added to the executors.
     """
 
-    def __init__(self, keys: Sequence[str], horizon_ms: int):
-        self.keys = tuple(keys)
-        self.horizon_ms = int(horizon_ms)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.tags = handle.getMapState("tags", "tag bigint", "newest bigint")
-        self.floor = handle.getValueState("floor", "newest bigint")
-
-    def _floor(self) -> int:
-        return self.floor.get()[0] if self.floor.exists() else -1
-
-    def _raise_floor(self, newest: int) -> None:
-        if newest > self._floor():
-            self.floor.update((newest,))
-
-    def _expire(self, watermark: int) -> None:
-        old = [(key[0], value[0]) for key, value in self.tags.iterator() if key[0] <= watermark - self.horizon_ms]
-        for tag, newest in old:
-            self._raise_floor(newest)
-            self.tags.removeKey((tag,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        tagged = watermark > 0
-        if tagged:
-            # Timers run after the rows of their micro-batch.
-            self._expire(watermark)
-        after, newest = self._floor(), -1
-        for frame in rows:
-            ids = frame["batch_id"]
-            newest = max(newest, int(ids.max()))
-            out = {name: [value] * len(ids) for name, value in zip(self.keys, key)}
-            out["batch_id"] = ids
-            out["arrival_ms"] = pd.array([watermark if tagged else None] * len(ids), "Int64")
-            out["after_batch_id"] = after if tagged else ids - 1
-            yield pd.DataFrame(out)
-        if not tagged:
-            # Before any watermark a batch sees only itself, and no later one sees it.
-            self._raise_floor(newest)
-            return
-        known = self.tags.getValue((watermark,)) if self.tags.containsKey((watermark,)) else None
-        if known is None:
-            self.handle.registerTimer(watermark + self.horizon_ms)
-        self.tags.updateValue((watermark,), (max(newest, known[0] if known else -1),))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._expire(timerValues.getCurrentWatermarkInMs())
-        yield from ()
-
-    def close(self) -> None:
-        pass
+    class TrailingWindows(StatefulProcessor):
+        """Per key the tags still in the horizon, each with the newest batch that carries it.
+
+        The tag is the watermark that the engine holds when a batch arrives. All batches of one
+        micro-batch share it, so a key has at most one entry per micro-batch of the horizon, however
+        many batches it sends. A timer removes an entry when the watermark is a horizon past it; of
+        what was removed only the newest batch id is kept, one number per key.
+        """
+
+        def __init__(self, keys: Sequence[str], horizon_ms: int):
+            self.keys = tuple(keys)
+            self.horizon_ms = int(horizon_ms)
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.tags = handle.getMapState("tags", "tag bigint", "newest bigint")
+            self.floor = handle.getValueState("floor", "newest bigint")
+
+        def _floor(self) -> int:
+            return self.floor.get()[0] if self.floor.exists() else -1
+
+        def _raise_floor(self, newest: int) -> None:
+            if newest > self._floor():
+                self.floor.update((newest,))
+
+        def _expire(self, watermark: int) -> None:
+            old = [(key[0], value[0]) for key, value in self.tags.iterator() if key[0] <= watermark - self.horizon_ms]
+            for tag, newest in old:
+                self._raise_floor(newest)
+                self.tags.removeKey((tag,))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            tagged = watermark > 0
+            if tagged:
+                # Timers run after the rows of their micro-batch.
+                self._expire(watermark)
+            after, newest = self._floor(), -1
+            for frame in rows:
+                ids = frame["batch_id"]
+                newest = max(newest, int(ids.max()))
+                out = {name: [value] * len(ids) for name, value in zip(self.keys, key)}
+                out["batch_id"] = ids
+                out["arrival_ms"] = pd.array([watermark if tagged else None] * len(ids), "Int64")
+                out["after_batch_id"] = after if tagged else ids - 1
+                yield pd.DataFrame(out)
+            if not tagged:
+                # Before any watermark a batch sees only itself, and no later one sees it.
+                self._raise_floor(newest)
+                return
+            known = self.tags.getValue((watermark,)) if self.tags.containsKey((watermark,)) else None
+            if known is None:
+                self.handle.registerTimer(watermark + self.horizon_ms)
+            self.tags.updateValue((watermark,), (max(newest, known[0] if known else -1),))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._expire(timerValues.getCurrentWatermarkInMs())
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return TrailingWindows(keys, horizon_ms)
 
 
 def trailing_windows_stream(
@@ -133,9 +141,9 @@ def trailing_windows_stream(
     micro-batch share it; batches of a key come in id order from one micro-batch to the next.
     ``delay`` is how far the watermark stays behind the newest event time.
 
-    Needs the RocksDB state store (see ``build_session``) and one column of state type per key.
+    Needs the RocksDB state store (see ``build_session``, or start the stream inside
+    ``rocksdb_state``) and one column of state type per key.
     """
-    ship_package(batches.sparkSession)
     # The watermark follows the event time, but an old event time is no reason to drop a batch:
     # without the column the engine does not hold rows against the watermark.
     clocked = batches.select(*keys, "batch_id", event_col).withWatermark(event_col, delay)
@@ -143,7 +151,7 @@ def trailing_windows_stream(
     types = dict(clocked.dtypes)
     named = ", ".join(f"`{key}` {types[key]}" for key in keys)
     return clocked.groupBy(*keys).transformWithStateInPandas(
-        TrailingWindows(keys, horizon_ms),
+        trailing_processor(keys, horizon_ms),
         f"{named}, batch_id bigint, arrival_ms bigint, after_batch_id bigint",
         "append",
         "eventTime",

@@ -35,7 +35,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize("on_path", [True])
+@pytest.mark.parametrize("on_path", [True, False])
 def test_windows_by_the_engines_watermark(tmp_path, on_path):
     """The RocksDB state store is not set up, nor, without ``on_path``, are the workers told of the package."""
     name, out = "q_stream_trailing_watermark", tmp_path / "out.parquet"
