@@ -103,6 +103,48 @@ def window_counts(bounds: DataFrame, key: str) -> DataFrame:
     )
 
 
+def window_lists(bounds: DataFrame, key: str, step: int = 1 << 10) -> DataFrame:
+    """Add ``window_ids``, the ids of all batches in each window, rising and joined by commas.
+
+    ``bounds`` holds all batches with their bounds. The result is as large as all windows are. What it is
+    made from is not: the batches of a key and a stretch of ``step`` ids share most of their windows. What
+    all of them hold is made into text once; only the ids at either end are picked per batch. Bounds
+    never fall, so the ids in front are those of one stretch only.
+    """
+    bounds = settle(bounds.withColumn("stretch", F.expr(f"batch_id div {int(step)}")), "windows")
+    ids = bounds.groupBy(F.col(key), F.col("stretch").alias("part")).agg(
+        F.sort_array(F.collect_list("batch_id")).alias("ids")
+    )
+    asked = (
+        bounds.groupBy(key, "stretch")
+        .agg(
+            F.min("after_batch_id").alias("low"),
+            F.min("batch_id").alias("first"),
+            F.least(F.max("after_batch_id"), F.min("batch_id") - 1).alias("cut"),
+        )
+        .withColumn("part", F.explode(F.sequence(F.expr(f"(low + 1) div {int(step)}"), "stretch")))
+    )
+    shared = (
+        asked.join(ids, [key, "part"])
+        .groupBy(key, "stretch", "low", "cut", "first")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+        .withColumn("ids", F.flatten("parts.ids"))
+        .select(
+            key, "stretch",
+            F.expr("filter(ids, x -> x > low and x <= cut)").alias("front"),
+            F.expr("nullif(array_join(cast(filter(ids, x -> x > cut and x < first) as array<string>), ','), '')").alias("middle"),
+            F.expr("filter(ids, x -> x >= first)").alias("back"),
+        )
+    )
+    front = F.expr("cast(filter(front, x -> x > after_batch_id) as array<string>)")
+    back = F.expr("cast(filter(back, x -> x > after_batch_id and x <= batch_id) as array<string>)")
+    return (
+        bounds.join(shared, [key, "stretch"])
+        .withColumn("window_ids", F.concat_ws(",", front, "middle", back))
+        .drop("stretch", "front", "middle", "back")
+    )
+
+
 def window_members(
     chosen: DataFrame, batches: DataFrame, key: str, step: int = 1 << 10
 ) -> DataFrame:

@@ -401,10 +401,11 @@ def trailing_day_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trailing_day_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The windows of all batches in linear space: where each one begins and how many it holds."""
+    """The windows of all batches: where each one begins, how many batches it holds and which."""
     bounds = trailing.trailing_bounds(_keyed_batches(spark, sf))
     counted = trailing.window_counts(bounds.select("station", "batch_id", "after_batch_id"), "station")
-    return counted.select("station", "batch_id", "after_batch_id", "n_batches")
+    listed = trailing.window_lists(counted, "station")
+    return listed.select("station", "batch_id", "after_batch_id", "n_batches", "window_ids")
 
 
 def stream_trailing_watermark(spark: SparkSession, sf: str) -> DataFrame:

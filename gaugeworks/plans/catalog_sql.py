@@ -149,16 +149,18 @@ BOUND_ROWS = f"""SELECT a.station, a.batch_id,
 FROM timed a"""
 BOUNDS = f"WITH {batch_times(TRAILING_SIZE)} {BOUND_ROWS}"
 
-# The batches of a window counted one by one.
+# The batches of a window counted and listed one by one.
 TRAILING = f"""WITH {batch_times(TRAILING_SIZE)},
 bounds AS ({BOUND_ROWS}),
 members AS (
-  SELECT a.station, a.batch_id, count(*) AS n_batches
+  SELECT a.station, a.batch_id, count(*) AS n_batches,
+    string_agg(CAST(b.batch_id AS VARCHAR), ',' ORDER BY b.batch_id) AS window_ids
   FROM timed a JOIN timed b ON a.station = b.station AND (
     a.batch_id = b.batch_id OR (b.batch_id < a.batch_id AND b.wm > a.wm - {DAY_MS}))
   GROUP BY a.station, a.batch_id
 )
-SELECT station, batch_id, after_batch_id, n_batches FROM bounds JOIN members USING (station, batch_id)"""
+SELECT station, batch_id, after_batch_id, n_batches, window_ids
+FROM bounds JOIN members USING (station, batch_id)"""
 
 # The watermark of a micro-batch is the newest time of all before it.
 WATERMARKS = f"""WITH {batch_times(TRAILING_SIZE)},

@@ -3,7 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.trailing import DAY_MS, trailing_bounds, window_counts, window_members
+from gaugeworks.operators.trailing import (
+    DAY_MS,
+    trailing_bounds,
+    window_counts,
+    window_lists,
+    window_members,
+)
+from gaugeworks.plans.catalog import QUERIES
+from gaugeworks.plans.catalog_sql import ORACLES
 from gaugeworks.streaming.runs import run_available
 from gaugeworks.streaming.trailing import trailing_bounds_stream, trailing_windows_stream
 
@@ -116,6 +124,33 @@ def test_counts_equal_the_members_of_chosen_windows(spark, seed):
         assert r["count"] == got[r.k, r.batch_id]
 
 
+@pytest.mark.parametrize("seed,step", [(0, 1), (1, 7), (2, 64), (3, 1 << 10)])
+def test_listed_windows_equal_a_replay(spark, seed, step):
+    """Every window is listed whole, whatever the stretches of ids are."""
+    rows = sample(seed, 300, 4, 40)
+    bounds = trailing_bounds(frame(spark, rows), 250)
+    got = {(r.k, r.batch_id): r.window_ids for r in window_lists(bounds, "k", step).collect()}
+    wanted = replay(rows, 250)
+    assert got == {place: ",".join(map(str, ids)) for place, ids in wanted.items()}
+
+
+def test_windows_of_all_batches_are_listed(spark, tmp_path):
+    """The query and its SQL give the members of each window, not only how many there are."""
+    name = "q_trailing_day_batches"
+    assert "window_ids" in ORACLES[name]
+    folder = str(tmp_path)
+    spark.range(1000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id * 4)").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.lit(1.5).alias("value"),
+    ).write.parquet(f"{folder}/events.parquet")
+    rows = QUERIES[name](spark, folder).collect()
+    assert len(rows) == 50 and max(r.n_batches for r in rows) > 3
+    ids = {r.batch_id: r.station for r in rows}
+    for r in rows:
+        members = [i for i in sorted(ids) if ids[i] == r.station and r.after_batch_id < i <= r.batch_id]
+        assert r.window_ids == ",".join(map(str, members)) and r.n_batches == len(members)
+
+
 def test_windows_of_large_keys_are_not_counted(spark):
     bounds = spark.createDataFrame([(-1, 0, -1)], "k bigint, batch_id bigint, after_batch_id bigint")
     with pytest.raises(Exception, match="too large"):
