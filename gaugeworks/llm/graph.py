@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeworks.session import settle
+from gaugeworks.session import forget, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least root among neighbours and then the root's own root, so paths
     halve; it ends when a round changes nothing. Rounds are written to the shared folder, so a
-    lost executor costs one round at most. No links give no rows.
+    lost executor costs one round at most; only the last is left, which the caller may ``forget``.
+    No links give no rows.
     """
     ends = settle(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links"
@@ -32,6 +33,9 @@ def components(links: DataFrame) -> DataFrame:
             lowered.join(above, "root").select("node", "old", F.least("root", "above").alias("root")),
             "roots",
         )
+        forget(roots)
         roots = jumped.select("node", "root")
+        roots.settled_path = jumped.settled_path
         if jumped.filter(F.col("old") != F.col("root")).isEmpty():
+            forget(ends)
             return roots

@@ -33,15 +33,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeworks.llm.graph import components
 from gaugeworks.llm.hashing import Words, mix, powers, slices, window_names
-from gaugeworks.session import forget, settle
+from gaugeworks.session import forget, in_rounds, settle
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
-# Shingles in more than this share of a batch's documents are candidates for the end of the order.
-FREQUENT_SHARE = 0.004
+# Shingles in more than this share of a chunk's documents, and two at least, are candidates for the
+# end of the order; so many documents must hold them in all.
+FREQUENT_SHARE, FREQUENT_HOLDERS = 0.0001, 8
+CHUNK_NAMES = 1 << 22
 # The list is an ordering hint of fixed size, not a filter: results do not depend on it.
 # Heads that share a shingle are a crowd from so many on, and then meet so many of them.
 CROWD, CROWD_CENTRES = 32, 8
-MAX_FREQUENT = 1 << 16
+MAX_FREQUENT = 1 << 18
+# The second comparison works off so many meetings of components for each row of theirs at a time.
+MEETINGS_PER_ROW = 4
+
 
 @dataclass(frozen=True)
 class Likeness:
@@ -99,12 +104,34 @@ def _node(names: np.ndarray) -> bytes:
     return struct.pack(">QQ", int(one), int(two))
 
 
-def _ordered(names: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Names in the global order: frequent ones carry the top bit and sort last."""
-    if len(frequent) and len(names):
-        at = np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)
-        names = np.sort(np.where(frequent[at] == names, names | _LAST, names))
-    return names
+def _prefix(names: np.ndarray, frequent: np.ndarray, count: int) -> np.ndarray:
+    """The first names in the global order: frequent ones carry the top bit and come last."""
+    if not len(frequent):
+        return names[:count]
+    for part in (names[: 2 * count], names):  # mostly, twice as many hold enough that are not frequent
+        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)
+        late = frequent[at] == part
+        if len(part) - late.sum() >= count:
+            break
+    return np.concatenate([part[~late], part[late] | _LAST])[:count]
+
+
+def _parity(names: np.ndarray) -> bytes:
+    """A bit per residue of the names: whether an odd number of them has it.
+
+    The modulus is a power of two, at least twice their number.
+    """
+    residues = max(64, 1 << (2 * len(names) - 1).bit_length()) if len(names) else 64
+    odd = np.bincount((names & np.uint64(residues - 1)).astype(np.int64), minlength=residues) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(one: np.ndarray, two: np.ndarray) -> int:
+    """Names that only one of two sets holds, at least, by the parities of both."""
+    while len(one) != len(two):
+        one, two = (one, two) if len(one) > len(two) else (two, one)
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
 
 
 def _signed(names: np.ndarray) -> np.ndarray:
@@ -115,46 +142,58 @@ def _signed(names: np.ndarray) -> np.ndarray:
 def frequent_shingles(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     """Shingles that many documents hold, at most ``MAX_FREQUENT``, sorted by name.
 
-    Each batch reports what at least FREQUENT_SHARE of its different documents hold, so the
-    reports are few whatever the number of documents.
+    Each chunk of about CHUNK_NAMES shingles reports what several of its different documents hold:
+    also passages and texts with copies in one of thousands of documents, as the pairs that meet
+    at them would grow with the square of the corpus. In prefixes, what a document shares with few
+    comes first, so two that are not alike show it there.
     """
 
+    def common(sets):
+        names, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        many = counts >= max(2, math.ceil(FREQUENT_SHARE * len(sets)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[many].view(np.int64)), pa.array(counts[many])], names=["name", "docs"]
+        )
+
     def report(batches):
+        sets, held = {}, 0
         for batch in slices(batches, "text"):
-            sets = {_node(s): s for s in _raw_sets(batch.column("text"), width) if len(s)}
-            if not sets:
-                continue
-            names, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            many = counts >= max(3, math.ceil(FREQUENT_SHARE * len(sets)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[many].view(np.int64)), pa.array(counts[many])], names=["name", "docs"]
-            )
+            new = {_node(s): s for s in _raw_sets(batch.column("text"), width) if len(s)}
+            held += sum(len(s) for node, s in new.items() if node not in sets)
+            sets |= new
+            if held >= CHUNK_NAMES:
+                yield common(sets)
+                sets, held = {}, 0
+        if sets:
+            yield common(sets)
 
     top = (
         texts.select("text")
         .mapInArrow(report, "name bigint, docs bigint")
         .groupBy("name")
         .agg(F.sum("docs").alias("docs"))
+        .filter(F.col("docs") >= FREQUENT_HOLDERS)
         .orderBy(F.desc("docs"), "name")
         .limit(MAX_FREQUENT)
     )
-    return np.sort(np.array([r["name"] for r in top.collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(top.select("name").toArrow()["name"].to_numpy().view(np.uint64))
 
 
 def shingled(
     texts: DataFrame, frequent: np.ndarray, likeness: Likeness, width: int = WIDTH
 ) -> DataFrame:
-    """Per row: doc_id, n, node, group (of prefix and size), last and the prefix itself."""
+    """Per row: doc_id, n, node, group (of prefix and size), last, parity and the prefix itself."""
 
     def describe(batches):
         for batch in slices(batches, "text"):
-            sizes, nodes, groups, lasts, prefixes = [], [], [], [], []
+            sizes, nodes, groups, lasts, prefixes, parities = [], [], [], [], [], []
             for names in _raw_sets(batch.column("text"), width):
                 n = len(names)
                 sizes.append(n)
                 nodes.append(_node(names))
-                prefix = _ordered(names, frequent)[: likeness.prefix(n)]
-                prefix = _signed(prefix) if n else np.zeros(0, np.int64)
+                parities.append(_parity(names))
+                prefix = _prefix(names, frequent, likeness.prefix(n)) if n else names
+                prefix = _signed(prefix)
                 prefixes.append(prefix)
                 groups.append(_node(np.append(prefix.view(np.uint64), np.uint64(n))))
                 lasts.append(int(prefix[-1]) if n else None)
@@ -167,21 +206,56 @@ def shingled(
                     pa.array(nodes, pa.binary()),
                     pa.array(groups, pa.binary()),
                     pa.array(lasts, pa.int64()),
+                    pa.array(parities, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["doc_id", "n", "node", "grp", "last", "prefix"],
+                names=["doc_id", "n", "node", "grp", "last", "parity", "prefix"],
             )
 
     return texts.mapInArrow(
-        describe, "doc_id bigint, n bigint, node binary, grp binary, last bigint, prefix array<bigint>"
+        describe,
+        "doc_id bigint, n bigint, node binary, grp binary, last bigint, parity binary, prefix array<bigint>",
     )
 
 
 def _verified(
     texts: DataFrame, nodes: DataFrame, pairs: DataFrame, likeness: Likeness, width: int
 ) -> DataFrame:
-    """The pairs (a, b) of node numbers whose whole sets are similar enough."""
-    pairs = settle(pairs.select("a", "b"), "pairs")
+    """The pairs (a, b) of node numbers whose whole sets are similar enough.
+
+    Parities, which are short, tell most pairs that are not. Whole sets travel once per pair, so
+    the others are compared in rounds of about half as many as there are nodes, which move each
+    set once on average; parities in rounds of four pairs a node.
+    """
+    count = max(nodes.count(), 1)
+
+    def sift(batches):
+        for batch in batches:
+            keep = []
+            sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            for one, two, both in zip(batch.column("parity_a"), batch.column("parity_b"), sizes):
+                x = np.frombuffer(one.as_buffer(), np.uint8)
+                y = np.frombuffer(two.as_buffer(), np.uint8)
+                keep.append(likeness.reached((both - _apart(x, y)) // 2, both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def sifted(some):
+        for side in "ab":
+            some = some.join(
+                nodes.select(
+                    F.col("nid").alias(side),
+                    F.col("n").alias(f"n_{side}"),
+                    F.col("parity").alias(f"parity_{side}"),
+                ),
+                side,
+            )
+        columns = "a", "b", "n_a", "n_b", "parity_a", "parity_b"
+        return settle(some.select(*columns).mapInArrow(sift, "a bigint, b bigint"), "pairs")
+
+    listed = settle(pairs.select("a", "b"), "listed")
+    pairs = in_rounds(listed, "a", -(-listed.count() // (4 * count)), sifted)
+    forget(listed)
+    rounds = -(-2 * pairs.count() // count)
     wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
     named = nodes.join(wanted, "nid", "left_semi").select(
         "nid", "node", F.col("doc_id").alias("rep_id")
@@ -208,7 +282,6 @@ def _verified(
         "nid", "node", "text"
     )
     stored = settle(sets.mapInArrow(whole, "nid bigint, names binary"), "sets")
-    sets = stored.dropDuplicates(["nid"])
 
     def compare(batches):
         for batch in batches:
@@ -220,11 +293,20 @@ def _verified(
                 keep.append(likeness.reached(both, len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    if stored.groupBy("nid").count().filter("count > 1").isEmpty():
+        sets = stored
+    else:  # rows of equal id and text give a node's set several times
+        sets = settle(stored.dropDuplicates(["nid"]), "sets")
+        forget(stored)
     left = sets.select(F.col("nid").alias("a"), F.col("names").alias("names_a"))
     right = sets.select(F.col("nid").alias("b"), F.col("names").alias("names_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "names_a", "names_b")
-    links = settle(joined.mapInArrow(compare, "a bigint, b bigint"), "verified")
-    forget(stored, pairs)
+
+    def compared(some):
+        joined = some.join(left, "a").join(right, "b").select("a", "b", "names_a", "names_b")
+        return settle(joined.mapInArrow(compare, "a bigint, b bigint"), "verified")
+
+    links = in_rounds(pairs, "a", rounds, compared)
+    forget(sets, pairs)
     return links
 
 
@@ -247,7 +329,7 @@ def near_duplicates(
     # Nodes, one per distinct set, numbered, with a row to fetch the text from.
     nodes = settle(
         rows.filter(F.col("n") > 0)
-        .groupBy("node", "n", "grp", "last")
+        .groupBy("node", "n", "grp", "last", "parity")
         .agg(F.min("doc_id").alias("doc_id"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
@@ -270,6 +352,9 @@ def near_duplicates(
         .select("gid", "members", F.posexplode("prefix").alias("pos", "token"))
     )
     tokens = settle(tokens, "tokens")
+    # Prefixes are most of the table and not used again.
+    members = settle(rows.select("doc_id", "n", "node"), "members")
+    forget(rows)
     shared = (
         tokens.groupBy("token").agg(F.sum("members").alias("holders")).filter(F.col("holders") > 1)
     )
@@ -279,6 +364,7 @@ def near_duplicates(
     forget(tokens)
     sizes = heads.select("gid", "n", likeness.band(F.col("n")).alias("band"))
     placed = settle(buckets.join(sizes, "gid"), "placed")
+    forget(buckets)
 
     # First comparison. Members meet the head of their group; heads meet the set that holds one
     # of their shingles earliest, which of all holders has fewest shingles of its own.
@@ -308,6 +394,7 @@ def near_duplicates(
         .agg(F.max(F.struct("common", "a")).alias("best"))
         .select(F.col("best.a").alias("a"), "b")
     )
+    likely = settle(likely, "likely")
     # Where many heads share a shingle, most are alike, but not each to the one it met. They also
     # meet a few others, the same ones for all shingles of a group, so that few components are
     # left for the second comparison.
@@ -323,27 +410,32 @@ def near_duplicates(
         .filter(F.col("a") != F.col("gid"))
         .select("a", F.col("gid").alias("b"))
     )
+    crowded = settle(crowded.distinct(), "crowded")
     star = within.filter(F.col("a") != F.col("b")).union(likely).union(crowded).distinct()
     links = _verified(texts, nodes, star, likeness, width)
-    found = components(links).withColumnRenamed("node", "nid")
+    forget(likely, crowded)
+    roots = components(links)
+    found = roots.withColumnRenamed("node", "nid")
     rooted = settle(
         nodes.join(found, "nid", "left").select(
             "nid", "n", "grp", "last", F.coalesce("root", "nid").alias("root")
         ),
         "rooted",
     )
+    forget(roots)
 
     # Second comparison: pairs of different components only, per token and size band. The first
     # shingle that two linked sets share stands early in both: ``early`` is how early any shared
     # shingle of a node stands, and of two linked nodes the smaller one has it in a short prefix.
-    early = buckets.groupBy("gid").agg(F.min("pos").alias("early"))
+    early = placed.groupBy("gid").agg(F.min("pos").alias("early"))
     sides = settle(
         rooted.join(heads.select("grp", "gid"), "grp")
         .join(early, "gid")
         .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band")),
         "sides",
     )
-    mixed = buckets.select("token", "gid", "pos").join(sides, "gid")
+    forget(rooted, heads)
+    mixed = placed.select("token", "gid", "pos").join(sides, "gid")
     short = mixed.filter(likeness.reached(F.col("n") - F.col("early"), 2 * F.col("n")))
     smaller = short.select(
         "token",
@@ -354,60 +446,81 @@ def near_duplicates(
         "band",
         *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early", "pos")),
     )
-    kinds = larger.select("token", "band", "root_b").distinct()
-    meetings = settle(
-        smaller.select("token", "root_a", "band_a")
-        .distinct()
-        .withColumn("band", F.explode(F.array("band_a", F.col("band_a") + 1)))
-        .join(kinds, ["token", "band"])
-        .filter(F.col("root_a") != F.col("root_b")),
-        "meetings",
-    )
+    kinds = settle(larger.select("token", "band", "root_b").distinct(), "kinds")
     sum_n = F.col("n_a") + F.col("n_b")
     # What two sets can share when one shingle stands at these places of both.
     behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     around = F.least("pos_a", "pos_b") + behind
     first_ends = F.col("last_a") <= F.col("last_b")
-    common = (
-        meetings.join(smaller, ["token", "root_a", "band_a"])
-        .join(larger, ["token", "root_b", "band"])
-        .filter(
-            likeness.sizes_fit(F.col("n_a"), F.col("n_b"))
-            & (
-                (F.col("n_a") < F.col("n_b"))
-                | ((F.col("n_a") == F.col("n_b")) & (F.col("nid_a") < F.col("nid_b")))
-            )
-            & likeness.reached(F.col("n_a") - F.col("early_a"), sum_n)
-            & likeness.reached(F.col("n_b") - F.col("early_b"), sum_n)
-            & likeness.reached(around, sum_n)
+
+    def overlapping(some):
+        meetings = settle(
+            some.select("token", "root_a", "band_a")
+            .distinct()
+            .withColumn("band", F.explode(F.array("band_a", F.col("band_a") + 1)))
+            .join(kinds, ["token", "band"])
+            .filter(F.col("root_a") != F.col("root_b")),
+            "meetings",
         )
-        .select(
-            F.col("nid_a").alias("a"),
-            F.col("nid_b").alias("b"),
-            sum_n.alias("sum_n"),
-            F.when(first_ends, likeness.beyond(F.col("n_a"))).otherwise(likeness.beyond(F.col("n_b"))).alias("beyond"),
+        common = (
+            meetings.join(some, ["token", "root_a", "band_a"])
+            .join(larger, ["token", "root_b", "band"])
+            .filter(
+                likeness.sizes_fit(F.col("n_a"), F.col("n_b"))
+                & (
+                    (F.col("n_a") < F.col("n_b"))
+                    | ((F.col("n_a") == F.col("n_b")) & (F.col("nid_a") < F.col("nid_b")))
+                )
+                & likeness.reached(F.col("n_a") - F.col("early_a"), sum_n)
+                & likeness.reached(F.col("n_b") - F.col("early_b"), sum_n)
+                & likeness.reached(around, sum_n)
+            )
+            .select(
+                F.col("nid_a").alias("a"),
+                F.col("nid_b").alias("b"),
+                sum_n.alias("sum_n"),
+                F.when(first_ends, likeness.beyond(F.col("n_a")))
+                .otherwise(likeness.beyond(F.col("n_b")))
+                .alias("beyond"),
+            )
+            .groupBy("a", "b", "sum_n", "beyond")
+            .agg(F.count(F.lit(1)).alias("common"))
         )
-        .groupBy("a", "b", "sum_n", "beyond")
-        .agg(F.count(F.lit(1)).alias("common"))
-    )
-    # Whichever prefix ends first: all its shingles that the other set holds are in ``common``.
-    possible = settle(
-        common.filter(likeness.reached(F.col("common") + F.col("beyond"), F.col("sum_n"))), "possible"
+        # Whichever prefix ends first: all its shingles that the other set holds are in ``common``.
+        enough = likeness.reached(F.col("common") + F.col("beyond"), F.col("sum_n"))
+        possible = settle(common.filter(enough), "possible")
+        forget(meetings)
+        return possible
+
+    # Roots that share a shingle and a band meet each other: where that is far more than there are
+    # rows, roots are worked off in rounds.
+    meets = kinds.groupBy("token", "band").count().agg(
+        F.sum(F.col("count") * (F.col("count") - 1)), F.sum("count")
     )
+    expected, there = (float(x or 0) for x in meets.first())
+    rounds = math.ceil(expected / max(MEETINGS_PER_ROW * there, 1))
+    possible = in_rounds(smaller, "root_a", rounds, overlapping)
+    forget(placed, sides, kinds)
     more = _verified(texts, nodes, possible, likeness, width)
-    final = components(links.union(more)).withColumnRenamed("node", "nid")
+    forget(possible)
+    roots = components(links.union(more))
+    final = roots.withColumnRenamed("node", "nid")
+    forget(links, more)
 
     labelled = nodes.select("node", "nid").join(final, "nid", "left")
     labelled = labelled.select("node", F.coalesce("root", "nid").alias("root"))
-    keyed = rows.select("doc_id", "n", "node").join(labelled, "node", "left")
+    keyed = members.join(labelled, "node", "left")
     least = (
         nodes.select("node", "doc_id")
         .join(labelled, "node")
         .groupBy("root")
         .agg(F.min("doc_id").alias("least"))
     )
-    return keyed.join(least, "root", "left").select(
+    result = keyed.join(least, "root", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+    result = settle(result, "components")
+    forget(members, nodes, roots)
+    return result

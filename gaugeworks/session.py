@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -115,6 +115,22 @@ def settle(frame: DataFrame, label: str) -> DataFrame:
     return settled
 
 
+def in_rounds(
+    frame: DataFrame, key: str, rounds: int, step: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """One settled table of what ``step`` settles for each part of the frame, dealt out by ``key``.
+
+    For steps whose shuffles are far larger than their results: the disk holds those of one part.
+    """
+    if rounds <= 1:
+        return step(frame)
+    part = F.pmod(F.xxhash64(key), F.lit(rounds))
+    done = [step(frame.filter(part == k)) for k in range(rounds)]
+    whole = settle(reduce(DataFrame.union, done), "rounds")
+    forget(*done)
+    return whole
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables that ``settle`` returned, once nothing reads them any more."""
     for frame in frames:

@@ -1,5 +1,6 @@
 import random
 from fractions import Fraction
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -11,6 +12,7 @@ from gaugeworks.llm.graph import components
 from gaugeworks.llm.hashing import Words
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.substrings import anchors, remove_repeats
+from gaugeworks.session import run_folder
 
 
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 60)])
@@ -39,6 +41,54 @@ def test_near_copies_of_one_text_with_many_edits(table, monkeypatch):
         assert brute.by_id(tuple(r) for r in found.collect()) == wanted
 
 
+def test_a_passage_of_few_documents_comes_late(table):
+    """Eight of 2,400 documents in one batch hold it; each has enough shingles of its own."""
+    rng = random.Random(5)
+    passage = brute.sentence(rng, 12)
+    rows = [
+        (k, f"{brute.sentence(rng, 12)} {passage if k % 300 == 0 else ''}", "en", "s", 1) for k in range(2400)
+    ]
+    frequent = jaccard.frequent_shingles(table(rows, 1), 5)
+    assert set(jaccard._raw_sets(pa.array([passage]), 5)[0]) <= set(frequent)
+
+
+def test_prefixes_are_the_first_in_order():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 40):
+        names = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for listed in (0, 1, n // 2, n):
+            frequent = np.sort(rng.choice(names, listed, replace=False))
+            order = sorted(names, key=lambda x: (x in frequent, x))
+            for count in (1, (n + 1) // 2, n):
+                found = jaccard._prefix(names, frequent, count)
+                assert [int(x) & ((1 << 63) - 1) for x in found] == [int(x) for x in order[:count]]
+                assert list(found) == sorted(found)
+
+
+def test_parities_never_say_too_much():
+    rng = np.random.default_rng(2)
+    for sizes in ((1, 1), (3, 400), (400, 430), (2000, 2500)):
+        for shared in (0, min(sizes) // 2, min(sizes)):
+            pool = np.unique(rng.integers(0, 1 << 63, sum(sizes), dtype=np.uint64))
+            one, two = pool[: sizes[0]], pool[sizes[0] - shared : sizes[0] - shared + sizes[1]]
+            apart = jaccard._apart(*(np.frombuffer(jaccard._parity(s), np.uint8) for s in (one, two)))
+            real = len(np.setxor1d(one, two))
+            assert apart <= real
+            assert apart >= real / 3 or len(one) * 5 < len(two)
+
+
+def test_rounds_give_the_same(table, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEETINGS_PER_ROW", 0.02)
+    found = near_duplicates(table(corpus), width=3, similarity=Fraction(6, 10))
+    assert brute.by_id(tuple(r) for r in found.collect()) == brute.by_id(brute.components(corpus, 3, 60))
+
+
+def test_only_the_result_is_left_on_disk(spark, table, corpus):
+    with run_folder(spark) as folder:
+        near_duplicates(table(corpus))
+        assert [p.name.partition("-")[0] for p in Path(folder).iterdir()] == ["components"]
+
+
 def test_no_documents(table):
     assert near_duplicates(table([])).collect() == []
     assert remove_repeats(table([])).collect() == []
