@@ -9,7 +9,7 @@ documents; a stage's input is what the stage before wrote.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeworks.llm.jaccard import near_duplicates
 from gaugeworks.llm.mixing import mix_documents
@@ -45,9 +45,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = found.filter(
         F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
     )
-    kept = least.select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "text"])
+    kept = least.select(*_null_safe(F.col("doc_id"))).distinct()
+    # Keyed as joined, the texts of equal ids are already together and are not shuffled again.
+    chosen = docs.select("*", *_null_safe(docs["doc_id"])).join(kept, [*KEPT], "left_semi")
+    return chosen.dropDuplicates([*KEPT, "text"]).drop(*KEPT)
+
+
+KEPT = ("__kept_id", "__kept_null")
+
+
+def _null_safe(doc_id: Column) -> list[Column]:
+    """Two columns that are equal for equal ids, nulls included."""
+    return [F.coalesce(doc_id, F.lit(0)).alias(KEPT[0]), doc_id.isNull().alias(KEPT[1])]
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

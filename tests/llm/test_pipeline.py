@@ -97,6 +97,19 @@ def test_stages_take_awkward_rows(spark, corpus, awkward, name, stage):
     assert got or name == "quality"  # the labels here say nothing about the texts
 
 
+def test_texts_are_shuffled_once_to_keep_one_of_each(spark, awkward):
+    """Besides the documents, only the ids to keep are exchanged."""
+    docs, folder = awkward
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = corpus_pipeline.keep_one_of_each(spark, settle(docs, "docs"), folder)
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_empty_tables(spark, awkward, name, stage):
     docs, folder = awkward
