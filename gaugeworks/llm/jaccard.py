@@ -26,6 +26,8 @@ import math
 import struct
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,15 @@ def _prefix(names: np.ndarray, frequent: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([part[~late], part[late] | _LAST])[:count]
 
 
+# Parities of 256 residues, as columns that the pair join can compare.
+MARKS = [f"mark{k}" for k in range(4)]
+
+
+def _marks(names: np.ndarray) -> np.ndarray:
+    odd = np.bincount((names & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _parity(names: np.ndarray) -> bytes:
     """A bit per residue of the names: whether an odd number of them has it.
 
@@ -187,11 +198,13 @@ def shingled(
     def describe(batches):
         for batch in slices(batches, "text"):
             sizes, nodes, groups, lasts, prefixes, parities = [], [], [], [], [], []
+            marks = []
             for names in _raw_sets(batch.column("text"), width):
                 n = len(names)
                 sizes.append(n)
                 nodes.append(_node(names))
                 parities.append(_parity(names))
+                marks.append(_marks(names))
                 prefix = _prefix(names, frequent, likeness.prefix(n)) if n else names
                 prefix = _signed(prefix)
                 prefixes.append(prefix)
@@ -207,14 +220,17 @@ def shingled(
                     pa.array(groups, pa.binary()),
                     pa.array(lasts, pa.int64()),
                     pa.array(parities, pa.binary()),
+                    *(pa.array(np.stack(marks)[:, k]) for k in range(len(MARKS))),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["doc_id", "n", "node", "grp", "last", "parity", "prefix"],
+                names=["doc_id", "n", "node", "grp", "last", "parity", *MARKS, "prefix"],
             )
 
     return texts.mapInArrow(
         describe,
-        "doc_id bigint, n bigint, node binary, grp binary, last bigint, parity binary, prefix array<bigint>",
+        "doc_id bigint, n bigint, node binary, grp binary, last bigint, parity binary, "
+        + "".join(f"{mark} bigint, " for mark in MARKS)
+        + "prefix array<bigint>",
     )
 
 
@@ -329,7 +345,7 @@ def near_duplicates(
     # Nodes, one per distinct set, numbered, with a row to fetch the text from.
     nodes = settle(
         rows.filter(F.col("n") > 0)
-        .groupBy("node", "n", "grp", "last", "parity")
+        .groupBy("node", "n", "grp", "last", "parity", *MARKS)
         .agg(F.min("doc_id").alias("doc_id"))
         .withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
@@ -418,7 +434,7 @@ def near_duplicates(
     found = roots.withColumnRenamed("node", "nid")
     rooted = settle(
         nodes.join(found, "nid", "left").select(
-            "nid", "n", "grp", "last", F.coalesce("root", "nid").alias("root")
+            "nid", "n", "grp", "last", *MARKS, F.coalesce("root", "nid").alias("root")
         ),
         "rooted",
     )
@@ -431,7 +447,7 @@ def near_duplicates(
     sides = settle(
         rooted.join(heads.select("grp", "gid"), "grp")
         .join(early, "gid")
-        .select("gid", "nid", "n", "last", "root", "early", likeness.band(F.col("n")).alias("band")),
+        .select("gid", "nid", "n", "last", "root", "early", *MARKS, likeness.band(F.col("n")).alias("band")),
         "sides",
     )
     forget(rooted, heads)
@@ -439,18 +455,20 @@ def near_duplicates(
     short = mixed.filter(likeness.reached(F.col("n") - F.col("early"), 2 * F.col("n")))
     smaller = short.select(
         "token",
-        *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "pos", "band")),
+        *(F.col(c).alias(f"{c}_a") for c in ("nid", "n", "last", "root", "early", "pos", *MARKS, "band")),
     )
     larger = mixed.select(
         "token",
         "band",
-        *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early", "pos")),
+        *(F.col(c).alias(f"{c}_b") for c in ("nid", "n", "last", "root", "early", "pos", *MARKS)),
     )
     kinds = settle(larger.select("token", "band", "root_b").distinct(), "kinds")
     sum_n = F.col("n_a") + F.col("n_b")
     # What two sets can share when one shingle stands at these places of both.
     behind = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     around = F.least("pos_a", "pos_b") + behind
+    # What only one of them holds, at least: see ``_parity``.
+    apart = reduce(add, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS))
     first_ends = F.col("last_a") <= F.col("last_b")
 
     def overlapping(some):
@@ -474,6 +492,7 @@ def near_duplicates(
                 & likeness.reached(F.col("n_a") - F.col("early_a"), sum_n)
                 & likeness.reached(F.col("n_b") - F.col("early_b"), sum_n)
                 & likeness.reached(around, sum_n)
+                & likeness.reached((sum_n - apart) / 2, sum_n)
             )
             .select(
                 F.col("nid_a").alias("a"),
